@@ -54,15 +54,15 @@ FROM games
 """
 
 _APPEARANCES = """
-SELECT game_id, player_id, CAST(o_orderdate AS DATE) AS game_date, CAST(year(o_orderdate) AS INT) AS season,
-       player_id {div} 16 + CASE WHEN month(o_orderdate) >= 7 AND player_id % 5 = 0 THEN 1 ELSE 0 END AS team_id,
-       listed, CASE WHEN NOT listed THEN qty END AS minutes,
-       CASE WHEN NOT listed THEN CAST(cents % 41 AS DOUBLE) END AS pts,
-       CAST(95 + cents % 31 AS DOUBLE) AS def_rating, CAST(90 + cents % 23 AS DOUBLE) AS pace
+SELECT g.game_id, a.player_id, g.game_date, g.season,
+       CASE WHEN a.player_id % 2 = 0 THEN g.home_team ELSE g.away_team END AS team_id, a.listed,
+       CASE WHEN NOT a.listed THEN CASE WHEN a.cents % 19 = 0 THEN CAST(0 AS DOUBLE) ELSE a.qty END END AS minutes,
+       CASE WHEN NOT a.listed THEN CAST(a.cents % 41 AS DOUBLE) END AS pts,
+       CAST(95 + a.cents % 31 AS DOUBLE) AS def_rating, CAST(90 + a.cents % 23 AS DOUBLE) AS pace
 FROM (SELECT l_orderkey AS game_id, l_partkey AS player_id, max(l_returnflag) = 'R' AS listed,
              sum(l_quantity) AS qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
       FROM lineitem GROUP BY l_orderkey, l_partkey) a
-JOIN orders ON o_orderkey = game_id
+JOIN games g ON g.game_id = a.game_id
 """
 
 _OFFICIALS = """
@@ -109,7 +109,7 @@ _TEMPLATES = {
     "series": (("events",), _SERIES),
     "games": (("orders",), _GAMES),
     "team_games": (("games",), _TEAM_GAMES),
-    "appearances": (("lineitem", "orders"), _APPEARANCES),
+    "appearances": (("lineitem", "games"), _APPEARANCES),
     "officials": (("lineitem",), _OFFICIALS),
     "book_odds": (("games",), _BOOK_ODDS),
     "predictions": (("lineitem",), _PREDICTIONS),

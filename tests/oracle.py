@@ -40,7 +40,7 @@ def _rows(table):
 def compare(spark, con, name, fn, sql, sf_dir):
     """Empty string when equal, else a short reason."""
     got = fn(spark, sf_dir).toArrow()
-    want = con.execute(sql).fetch_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     gn, gr = _rows(got)
     wn, wr = _rows(want)
     if gn != wn:
