@@ -7,70 +7,87 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A family is a short list of columns known when the plan is built, so everything below is plain
+# arithmetic and sort_array, which stay in generated code; nulls sort to the front of the array.
+# NaN is expected to have become null when the data was read (see functions.odds.number).
 
-def present(columns: Sequence[str | Column]) -> Column:
-    as_columns = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.filter(F.array(*[c.cast("double") for c in as_columns]), lambda x: x.isNotNull() & ~F.isnan(x))
 
+def _doubles(columns: Sequence[str | Column]) -> list[Column]:
+    return [(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns]
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
+def _add(parts: Sequence[Column]) -> Column:
+    return sum(parts[1:], parts[0])
 
-def array_mean(values: Column) -> Column:
-    return F.when(F.size(values) > 0, _total(values) / F.size(values))
+
+def row_count(columns: Sequence) -> Column:
+    return _add([c.isNotNull().cast("int") for c in _doubles(columns)])
 
 
 def row_mean(columns: Sequence) -> Column:
-    return array_mean(present(columns))
+    n = row_count(columns)
+    return F.when(n > 0, _add([F.coalesce(c, F.lit(0.0)) for c in _doubles(columns)]) / n)
 
 
-def array_std(values: Column) -> Column:
-    mean = _total(values) / F.size(values)
-    squares = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(values) > 0, F.sqrt(squares / F.size(values)))
+def deviation_std(columns: Sequence, mean: Column) -> Column:
+    """Population std around a mean computed before."""
+    squares = [F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in _doubles(columns)]
+    n = row_count(columns)
+    return F.when(n > 0, F.sqrt(_add(squares) / n))
 
 
 def row_std(columns: Sequence) -> Column:
     """Population std; a family of one column has none."""
     if len(columns) < 2:
         return F.lit(None).cast("double")
-    return array_std(present(columns))
+    return deviation_std(columns, row_mean(columns))
 
 
 def row_range(columns: Sequence) -> Column:
-    values = present(columns)
-    return F.array_max(values) - F.array_min(values)
+    values = _doubles(columns)
+    if len(values) < 2:
+        return values[0] - values[0]
+    return F.greatest(*values) - F.least(*values)
+
 
+def row_sorted(columns: Sequence) -> Column:
+    return F.sort_array(F.array(*_doubles(columns)))
 
-def array_quantile(values: Column, q: float) -> Column:
-    """Linear interpolation between neighbours of the sorted values."""
-    ordered = F.array_sort(values)
-    place = (F.size(values) - 1) * F.lit(q)
+
+def sorted_quantile(ordered: Column, n: Column, q: float) -> Column:
+    """Linear interpolation between neighbours of a sorted array whose last n entries are not null."""
+    place = (n - 1) * F.lit(q)
+    first = F.size(ordered) - n
     low = F.floor(place).cast("int")
-    below = F.get(ordered, low)
-    above = F.get(ordered, F.ceil(place).cast("int"))
-    return F.when(F.size(values) > 0, below + (above - below) * (place - low))
+    below = F.get(ordered, first + low)
+    above = F.get(ordered, first + F.ceil(place).cast("int"))
+    return F.when(n > 0, below + (above - below) * (place - low))
+
+
+def _quantile(columns: Sequence, q: float) -> Column:
+    return sorted_quantile(row_sorted(columns), row_count(columns), q)
 
 
 def row_median(columns: Sequence) -> Column:
-    return array_quantile(present(columns), 0.5)
+    return _quantile(columns, 0.5)
 
 
 def row_iqr(columns: Sequence) -> Column:
-    values = present(columns)
-    return array_quantile(values, 0.75) - array_quantile(values, 0.25)
+    return _quantile(columns, 0.75) - _quantile(columns, 0.25)
+
+
+def deviation_mad(columns: Sequence, center: Column) -> Column:
+    """Median absolute deviation from a median computed before."""
+    return _quantile([F.abs(c - center) for c in _doubles(columns)], 0.5)
 
 
 def row_mad(columns: Sequence) -> Column:
-    """Median absolute deviation from the row median."""
-    values = present(columns)
-    center = array_quantile(values, 0.5)
-    return array_quantile(F.transform(values, lambda x: F.abs(x - center)), 0.5)
+    return deviation_mad(columns, row_median(columns))
 
 
 def row_max_abs(columns: Sequence) -> Column:
-    return F.array_max(F.transform(present(columns), lambda x: F.abs(x)))
+    sizes = [F.abs(c) for c in _doubles(columns)]
+    return F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
 
 
 def row_nulls(columns: Sequence[str]) -> Column:
@@ -89,12 +106,11 @@ def all_present(columns: Sequence[str]) -> Column:
 
 def all_agree(columns: Sequence[str]) -> Column:
     """True when the non-null values of the row are one and the same."""
-    values = F.filter(F.array(*columns), lambda x: x.isNotNull())
-    return F.size(F.array_distinct(values)) == 1
+    return F.size(F.array_except(F.array(*columns), F.array(F.lit(None)))) == 1
 
 
 def votes(columns: Sequence[str], choice: str) -> Column:
-    return F.size(F.filter(F.array(*columns), lambda x: x == F.lit(choice)))
+    return _add([F.coalesce((F.col(c) == choice).cast("int"), F.lit(0)) for c in columns])
 
 
 def largest_abs_column(columns: Sequence[str]) -> Column:

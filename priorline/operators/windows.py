@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from priorline.skew import Total, attach, bounded_frames, running_totals
+from priorline.skew import CHECK, Total, attach, bounded_frames, find_hot_keys, narrower, running_totals, with_position
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ def prior_mean_name(value: str, n: int) -> str:
     return f"{value}_last_all_{n}_before"
 
 
-def prior_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], sizes: Sequence[int], by_season: bool = False):
+def prior_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], sizes: Sequence[int], by_season: bool = False, hot=CHECK):
     """Mean of the last n earlier rows of the entity, one column per value and n, in one window."""
     partition = [keys.entity, keys.season] if by_season else [keys.entity]
     return bounded_frames(
@@ -38,15 +38,24 @@ def prior_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], sizes: S
         keys.order,
         max(sizes),
         lambda w: [F.avg(v).over(prior(w, n)).alias(prior_mean_name(v, n)) for v in values for n in sizes],
+        hot=hot,
     )
 
 
-def split_relative_mean(df: DataFrame, keys: SeriesKeys, value: str, n: int, by_season: bool = False) -> DataFrame:
+def look(df: DataFrame, keys: SeriesKeys, hot):
+    """Look for hot entities once; the windows of one series share the answer."""
+    return find_hot_keys(df, [keys.entity]) if isinstance(hot, str) else hot
+
+
+def split_relative_mean(df: DataFrame, keys: SeriesKeys, value: str, n: int, by_season: bool = False, hot=CHECK) -> DataFrame:
     """Prior-n mean within the same split minus the prior-n mean over all rows."""
     base = prior_mean_name(value, n)
-    out = df if base in df.columns else prior_means(df, keys, [value], [n], by_season)
+    hot = look(df, keys, hot)
+    out = df if base in df.columns else prior_means(df, keys, [value], [n], by_season, narrower(hot))
     partition = [keys.entity, keys.season, keys.split] if by_season else [keys.entity, keys.split]
-    same = bounded_frames(out, partition, keys.order, n, lambda w: [F.avg(value).over(prior(w, n)).alias("__same")])
+    same = bounded_frames(
+        out, partition, keys.order, n, lambda w: [F.avg(value).over(prior(w, n)).alias("__same")], hot=narrower(hot)
+    )
     return same.withColumn(f"{value}_last_split_{n}_before", F.col("__same") - F.col(base)).drop("__same")
 
 
@@ -58,12 +67,14 @@ def window_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int, n:
     return out.withColumn(f"{value}_last_{reference}_minus_last_{n}_before", delta)
 
 
-def season_mean(df: DataFrame, keys: SeriesKeys, value: str, fallback_rows: int = 5) -> DataFrame:
+def season_mean(df: DataFrame, keys: SeriesKeys, value: str, fallback_rows: int = 5, hot=CHECK) -> DataFrame:
     """Season-to-date mean per split, else the previous season's mean, else the rolling mean."""
     base = prior_mean_name(value, fallback_rows)
-    out = df if base in df.columns else prior_means(df, keys, [value], [fallback_rows])
+    hot = look(df, keys, hot)
+    out = df if base in df.columns else prior_means(df, keys, [value], [fallback_rows], hot=hot)
     group = [keys.entity, keys.season, keys.split]
-    out = running_totals(out, group, keys.order, [Total("sum", F.col(value), "__s"), Total("count", F.col(value), "__n")])
+    totals = [Total("sum", F.col(value), "__s"), Total("count", F.col(value), "__n")]
+    out = running_totals(out, group, keys.order, totals, hot=narrower(hot))
     before = previous_season(df, group, keys.season, [F.avg(value).alias("__prev")])
     out = attach(out, before, group)
     to_date = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
@@ -71,7 +82,7 @@ def season_mean(df: DataFrame, keys: SeriesKeys, value: str, fallback_rows: int
     return out.select("*", picked).drop("__s", "__n", "__prev")
 
 
-def season_std(df: DataFrame, keys: SeriesKeys, value: str) -> DataFrame:
+def season_std(df: DataFrame, keys: SeriesKeys, value: str, hot=CHECK) -> DataFrame:
     """Population std of the season so far, else the previous season's sample std.
 
     Running sums are taken of deviations from the season's first value, which keeps the difference
@@ -86,7 +97,7 @@ def season_std(df: DataFrame, keys: SeriesKeys, value: str) -> DataFrame:
         Total("sum", shifted * shifted, "__q"),
         Total("count", F.col(value), "__n"),
     ]
-    out = running_totals(out, group, keys.order, totals)
+    out = running_totals(out, group, keys.order, totals, hot=narrower(look(df, keys, hot)))
     n = F.col("__n")
     variance = F.greatest(F.col("__q") / n - (F.col("__s") / n) * (F.col("__s") / n), F.lit(0.0))
     before = previous_season(df, group, keys.season, [F.stddev_samp(value).alias("__prev")])
@@ -116,44 +127,49 @@ def weighted_mean_column(value: str, n: int, window: WindowSpec, row_index: Colu
     return F.when(F.count(x).over(frame) > 0, total / weight)
 
 
-def weighted_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, by_season: bool = False):
-    from priorline.skew import with_position
-
+def weighted_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, by_season: bool = False, hot=CHECK):
+    hot = look(df, keys, hot)
     partition = [keys.entity, keys.season] if by_season else [keys.entity]
-    out = with_position(df, partition, keys.order, "__row")
+    known = narrower(hot) if by_season else hot
+    out = with_position(df, partition, keys.order, "__row", hot=known)
     out = bounded_frames(
         out,
         partition,
         keys.order,
         n,
         lambda w: [weighted_mean_column(v, n, w, F.col("__row")).alias(f"{v}_wma_{n}_before") for v in values],
+        hot=known,
     )
     return out.drop("__row")
 
 
-def split_relative_weighted(df: DataFrame, keys: SeriesKeys, value: str, n: int) -> DataFrame:
-    from priorline.skew import with_position
-
+def split_relative_weighted(df: DataFrame, keys: SeriesKeys, value: str, n: int, hot=CHECK) -> DataFrame:
     base = f"{value}_wma_{n}_before"
-    out = df if base in df.columns else weighted_means(df, keys, [value], n)
+    hot = look(df, keys, hot)
+    out = df if base in df.columns else weighted_means(df, keys, [value], n, hot=hot)
     partition = [keys.entity, keys.split]
-    out = with_position(out, partition, keys.order, "__row")
+    out = with_position(out, partition, keys.order, "__row", hot=narrower(hot))
     out = bounded_frames(
-        out, partition, keys.order, n, lambda w: [weighted_mean_column(value, n, w, F.col("__row")).alias("__same")]
+        out,
+        partition,
+        keys.order,
+        n,
+        lambda w: [weighted_mean_column(value, n, w, F.col("__row")).alias("__same")],
+        hot=narrower(hot),
     )
     return out.withColumn(f"{value}_wma_split_{n}_before", F.col("__same") - F.col(base)).drop("__same", "__row")
 
 
-def weighted_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int, n: int) -> DataFrame:
-    out = df
+def weighted_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int, n: int, hot=CHECK) -> DataFrame:
+    out, hot = df, look(df, keys, hot)
     for size in (reference, n):
         if f"{value}_wma_{size}_before" not in out.columns:
-            out = weighted_means(out, keys, [value], size)
+            out = weighted_means(out, keys, [value], size, hot=hot)
     delta = F.col(f"{value}_wma_{reference}_before") - F.col(f"{value}_wma_{n}_before")
     return out.withColumn(f"{value}_wma_{reference}_minus_wma_{n}_before", delta)
 
 
-def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, shift_current: bool = True):
+def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, shift_current: bool = True, hot=CHECK):
     """OLS slope over the non-null values among the last n rows of the season; null below two points.
 
     Points are numbered by a running count of non-null values, which differs from 1..m only by an
@@ -161,7 +177,8 @@ def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int,
     """
     partition = [keys.entity, keys.season]
     counts = [Total("count", F.col(v), f"__x_{v}") for v in values]
-    out = running_totals(df, partition, keys.order, counts, include_current=True)
+    known = narrower(look(df, keys, hot))
+    out = running_totals(df, partition, keys.order, counts, include_current=True, hot=known)
 
     def slopes(w: WindowSpec) -> list[Column]:
         frame = prior(w, n) if shift_current else w.rowsBetween(-(n - 1), 0)
@@ -172,7 +189,7 @@ def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int,
             for v in values
         ]
 
-    return bounded_frames(out, partition, keys.order, n, slopes).drop(*[f"__x_{v}" for v in values])
+    return bounded_frames(out, partition, keys.order, n, slopes, hot=known).drop(*[f"__x_{v}" for v in values])
 
 
 def records(df: DataFrame, group: Sequence[str], order: Sequence[str], result: str) -> DataFrame:
@@ -279,13 +296,14 @@ def form_columns(
     std: Sequence[str] = (),
 ) -> DataFrame:
     """All standard form columns of every value; values of one window kind share a single pass."""
-    out = prior_means(df, keys, values, list(means))
-    out = weighted_means(out, keys, values, wma)
-    out = trend_slopes(out, keys, values, slope)
+    hot = look(df, keys, CHECK)
+    out = prior_means(df, keys, values, list(means), hot=hot)
+    out = weighted_means(out, keys, values, wma, hot=hot)
+    out = trend_slopes(out, keys, values, slope, hot=hot)
     for value in values:
-        out = season_mean(out, keys, value, 5 if 5 in means else max(means))
+        out = season_mean(out, keys, value, 5 if 5 in means else max(means), hot=hot)
     for value in std:
-        out = season_std(out, keys, value)
+        out = season_std(out, keys, value, hot=hot)
     return out
 
 

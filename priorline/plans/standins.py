@@ -104,6 +104,27 @@ SELECT l_orderkey AS game_id, concat('model_', CAST(l_linenumber % 3 AS {text}))
 FROM lineitem
 """
 
+_MARKET_ROWS = """
+SELECT t.game_id AS event_id, t.game_date, t.season, CASE WHEN t.home THEN 1 ELSE 0 END AS row_index,
+       concat('Team ', CAST(t.team_id AS {text}), CASE WHEN t.game_id % 19 = 0 THEN 'x' ELSE '' END) AS team_name,
+       CASE WHEN t.home THEN concat('Team ', CAST(t.opponent_id AS {text}), ' @ Team ', CAST(t.team_id AS {text}))
+            ELSE concat('Team ', CAST(t.team_id AS {text}), ' @ Team ', CAST(t.opponent_id AS {text})) END AS matchup,
+       CASE WHEN t.game_id % 13 > 0 THEN t.pts END AS score,
+       CASE WHEN (t.game_id % 2 = 0) = t.home THEN 'O' ELSE 'u' END AS side,
+       CAST(t.game_id % 100 AS DOUBLE) AS consensus_pct, t.total_line AS alpha_line,
+       CAST(-110 - t.team_id % 7 AS DOUBLE) AS alpha_price, t.spread AS bravo_line,
+       CAST(CASE WHEN t.team_id % 9 = 0 THEN -10000 ELSE 100 + t.team_id % 50 END AS DOUBLE) AS bravo_price
+FROM team_games t
+"""
+
+_MATCHUPS = """
+SELECT game_id, game_date, team_id, CASE WHEN game_id % 11 = 0 THEN TRUE ELSE home END AS home, concat('T', CAST(team_id AS {text})) AS abbr,
+       CASE WHEN home THEN concat('T', CAST(team_id AS {text}), ' vs. T', CAST(opponent_id AS {text}))
+            ELSE concat('T', CAST(team_id AS {text}), ' @ T', CAST(opponent_id AS {text})) END AS matchup,
+       concat('00', CAST(game_id % 7 AS {text}), CAST(game_id AS {text})) AS game_text
+FROM team_games
+"""
+
 # name: (inputs, template)
 _TEMPLATES = {
     "series": (("events",), _SERIES),
@@ -113,6 +134,8 @@ _TEMPLATES = {
     "officials": (("lineitem",), _OFFICIALS),
     "book_odds": (("games",), _BOOK_ODDS),
     "predictions": (("lineitem",), _PREDICTIONS),
+    "market_rows": (("team_games",), _MARKET_ROWS),
+    "matchups": (("team_games",), _MATCHUPS),
 }
 
 _SPARK = {"div": "div", "day_of_month": "(day(ts) - 1)", "text": "string"}

@@ -62,6 +62,23 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
     return HotKeys(cut_lineage(counts.select(*keys)), int(total))
 
 
+CHECK = "check"  # look for hot keys; None says the caller knows there are none
+
+
+def _resolve(df: DataFrame, keys: Sequence[str], hot) -> HotKeys | None:
+    return find_hot_keys(df, keys) if isinstance(hot, str) else hot
+
+
+def narrower(hot):
+    """What is known for a finer key on the same rows: no hot key stays none, a hot one needs a new look."""
+    return None if hot is None else CHECK
+
+
+def dated(df: DataFrame, date: str):
+    """Rows made unique per key and calendar day cannot pile up, so the look is only needed for finer clocks."""
+    return None if dict(df.dtypes)[date] == "date" else CHECK
+
+
 def _split(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     marked = hot.keys.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
@@ -86,10 +103,10 @@ def _positions(sliced: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     return joined.withColumn(name, F.col("__offset") + F.col("__local") - 1).drop("__offset", "__local", "__slice")
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", hot=CHECK) -> DataFrame:
     """Zero-based dense position of each row within its key."""
     plain = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long").alias(name)
-    hot = find_hot_keys(df, keys)
+    hot = _resolve(df, keys, hot)
     if hot is None:
         return df.select("*", plain)
     cold, warm = _split(df, keys, hot)
@@ -103,6 +120,7 @@ def bounded_frames(
     order: Sequence[str],
     lookback: int,
     project: Callable[[WindowSpec], Sequence[Column]],
+    hot=CHECK,
 ) -> DataFrame:
     """Add columns whose frames reach at most ``lookback`` rows back from the current row.
 
@@ -110,7 +128,7 @@ def bounded_frames(
     ``slot`` rows long and start with a copy of the ``lookback`` rows before them.
     """
     window = Window.partitionBy(*keys).orderBy(*order)
-    hot = find_hot_keys(df, keys)
+    hot = _resolve(df, keys, hot)
     if hot is None:
         return df.select("*", *project(window))
     cold, warm = _split(df, keys, hot)
@@ -165,6 +183,7 @@ def running_totals(
     order: Sequence[str],
     totals: Sequence[Total],
     include_current: bool = False,
+    hot=CHECK,
 ) -> DataFrame:
     """Add totals over all earlier rows of the key (optionally with the current one)."""
     end = 0 if include_current else -1
@@ -173,7 +192,7 @@ def running_totals(
         return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
 
     plain = [t.fold().over(framed(*keys)).alias(t.name) for t in totals]
-    hot = find_hot_keys(df, keys)
+    hot = _resolve(df, keys, hot)
     if hot is None:
         return df.select("*", *plain)
     cold, warm = _split(df, keys, hot)
