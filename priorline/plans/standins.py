@@ -125,6 +125,14 @@ SELECT game_id, game_date, team_id, CASE WHEN game_id % 11 = 0 THEN TRUE ELSE ho
 FROM team_games
 """
 
+_SCORED = """
+SELECT p.game_id, p.model, p.line_no, p.part_id, p.run_id, p.cents, p.predicted_on, p.prediction_type, p.side_pick, p.tag,
+       p.predicted_total, g.total_line AS line, g.home_pts + g.away_pts AS actual, g.game_date, g.season,
+       CAST(-110 - p.cents % 7 AS DOUBLE) AS over_odds,
+       CASE WHEN p.cents % 31 > 0 THEN CAST(150 + p.cents % 60 AS DOUBLE) / 100 END AS under_odds
+FROM predictions p JOIN games g ON g.game_id = p.game_id
+"""
+
 # name: (inputs, template)
 _TEMPLATES = {
     "series": (("events",), _SERIES),
@@ -134,6 +142,7 @@ _TEMPLATES = {
     "officials": (("lineitem",), _OFFICIALS),
     "book_odds": (("games",), _BOOK_ODDS),
     "predictions": (("lineitem",), _PREDICTIONS),
+    "scored": (("predictions", "games"), _SCORED),
     "market_rows": (("team_games",), _MARKET_ROWS),
     "matchups": (("team_games",), _MATCHUPS),
 }

@@ -42,7 +42,7 @@ def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "lef
 
 @dataclass
 class HotKeys:
-    keys: DataFrame
+    keys: DataFrame | None  # None: the window has no key, so the whole table counts as one
     rows: int
 
 
@@ -52,9 +52,10 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
     One column-pruned count per key with map-side partials.  At most rows/limit keys come out, and
     they are joined without a broadcast hint, so Spark picks the strategy from their real size.
     """
-    if not keys:
-        return None
     limit = hot_rows_limit(df)
+    if not keys:  # one window over the whole table
+        rows = df.count()
+        return HotKeys(None, rows) if rows > limit else None
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
     total = counts.agg(F.sum("__rows")).first()[0]
     if not total:
@@ -79,12 +80,18 @@ def dated(df: DataFrame, date: str):
     return None if dict(df.dtypes)[date] == "date" else CHECK
 
 
-def _split(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
+def _split(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame | None, DataFrame]:
+    if hot.keys is None:
+        return None, df
     marked = hot.keys.select(*[F.col(k).alias(f"__h_{k}") for k in keys])
     condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
     return df.join(marked, condition, "left_anti"), df.join(marked, condition, "left_semi")
 
 
+def _both(cold: DataFrame | None, columns: Sequence[Column], warm: DataFrame) -> DataFrame:
+    return warm if cold is None else cold.select("*", *columns).unionByName(warm)
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys) -> DataFrame:
     """Rows with ``__slice``, increasing along (keys, order); written once so every reader agrees."""
     slices = max(2, math.ceil(2 * hot.rows / hot_rows_limit(df)))
@@ -111,7 +118,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
         return df.select("*", plain)
     cold, warm = _split(df, keys, hot)
     numbered = _positions(_sliced(warm, keys, order, hot), keys, order, name)
-    return cold.select("*", plain).unionByName(numbered)
+    return _both(cold, [plain], numbered)
 
 
 def bounded_frames(
@@ -139,7 +146,7 @@ def bounded_frames(
     copied = placed.select("*", F.explode(reach).alias("__slot"))
     slotted = Window.partitionBy(*keys, "__slot").orderBy("__pos")
     result = copied.select("*", *project(slotted)).filter(F.floor(F.col("__pos") / slot) == F.col("__slot"))
-    return cold.select("*", *project(window)).unionByName(result.drop("__pos", "__slot"))
+    return _both(cold, project(window), result.drop("__pos", "__slot"))
 
 
 @dataclass(frozen=True)
@@ -207,7 +214,7 @@ def running_totals(
     result = joined.select(
         *df.columns, *[t.merge(F.col(f"__p_{t.name}"), F.col(t.name)).alias(t.name) for t in totals]
     )
-    return cold.select("*", *plain).unionByName(result)
+    return _both(cold, plain, result)
 
 
 def _slice_results(sliced: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Sequence[Total]) -> DataFrame:
