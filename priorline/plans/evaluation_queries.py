@@ -75,7 +75,8 @@ def _year_folds(spark, sf_dir):
 @query(
     "e5_split_problems",
     f"""WITH r AS ({_BY_YEAR} UNION ALL SELECT 1999, 'train', game_id, game_date FROM games WHERE season = 1999 AND game_id % 2 = 0)
-        SELECT 1999 AS fold, 'time leakage' AS problem UNION ALL SELECT 1999, 'train/test overlap'""",
+        SELECT fold, 'time leakage' AS problem FROM r GROUP BY 1 HAVING max(game_date) FILTER (role = 'train') >= min(game_date) FILTER (role = 'test')
+        UNION ALL SELECT DISTINCT fold, 'train/test overlap' FROM (SELECT fold, game_id FROM r GROUP BY 1, 2 HAVING count(DISTINCT role) > 1)""",
     "games",
 )
 def e5_problems(spark, sf_dir):

@@ -769,7 +769,7 @@ def _block_sql():
         x AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in x.items())} FROM o),
         y AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in fam.items())} FROM x),
         t AS (SELECT *, {', '.join(f'list_median({k}) AS {k}med' for k in 'ldvr')} FROM y)
-        SELECT game_id, {', '.join(f'round({e}, 5) AS odds_{n}' for n, e in out.items())}, round(list_median(l), 5) AS close_total_consensus FROM t"""
+        SELECT game_id, {', '.join(f'round({e}, 7) AS odds_{n}' for n, e in out.items())}, round(list_median(l), 7) AS close_total_consensus FROM t"""
     return sql, names
 
 
@@ -781,7 +781,7 @@ def r4(spark, sf_dir):
     odds = standin(spark, sf_dir, "book_odds")
     odds = odds.withColumns({c: O.american_to_decimal(F.col(c)) for c in _PRICE_COLUMNS})
     out = M.odds_block(odds)
-    return rounded(out.select("game_id", *[f"odds_{n}" for n in _BLOCK_NAMES], "close_total_consensus"), 5)
+    return rounded(out.select("game_id", *[f"odds_{n}" for n in _BLOCK_NAMES], "close_total_consensus"), 7)
 
 
 def _formed(spark, sf_dir):
