@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.functions.text import REPORT_STATUSES, token_kind
-from priorline.skew import Total, bounded_frames, running_totals
+from priorline.skew import Total, attach, bounded_frames, running_totals
 
 FIELDS = ("game_date", "game_time", "matchup", "team", "player", "status", "reason")
 
@@ -17,9 +17,10 @@ def _tokens(text: Column) -> Column:
 
 def _glue(tokens: Column, from_end: int) -> Column:
     """Join the last ``from_end`` tokens when the first of them holds ';' or '-'."""
-    at = F.element_at(tokens, -from_end)
+    at = F.try_element_at(tokens, F.lit(-from_end))
     tail = F.slice(tokens, -from_end, from_end)
-    glued = F.concat(F.slice(tokens, 1, F.size(tokens) - from_end), F.array(F.array_join(tail, " ")))
+    front = F.greatest(F.size(tokens) - from_end, F.lit(0))
+    glued = F.concat(F.slice(tokens, F.lit(1), front), F.array(F.array_join(tail, " ")))
     return F.when((F.size(tokens) >= from_end + 1) & (at.contains(";") | at.contains("-")), glued).otherwise(tokens)
 
 
@@ -52,8 +53,6 @@ def report_rows(blocks: DataFrame, doc: str, line: str, text: str) -> DataFrame:
     # Inside a run of such blocks every second one is already joined to the one before.
     rows = running_totals(rows, [doc], [line], [Total("count", F.when(~F.col("__short"), 1), "__run"), Total("count", F.lit(1), "__n")])
     firsts = rows.groupBy(doc, "__run").agg(F.min(F.when(F.col("__short"), F.col("__n"))).alias("__first"))
-    from priorline.skew import attach
-
     rows = attach(rows, firsts, [doc, "__run"])
     rows = rows.withColumn("__held", F.col("__short") & ((F.col("__n") - F.col("__first")) % 2 == 0))
     rows = bounded_frames(rows, [doc], [line], 1, lambda w: [F.lag("__t").over(w).alias("__pt"), F.lag("__held").over(w).alias("__ph")])
@@ -64,7 +63,7 @@ def report_rows(blocks: DataFrame, doc: str, line: str, text: str) -> DataFrame:
     rows = rows.withColumn("__t", _glue(F.col("__t"), 2)).withColumn("__t", _glue(F.col("__t"), 3))
     direct = F.struct(*[F.get("__t", F.lit(i)).alias(f) for i, f in enumerate(FIELDS)], F.lit("").alias("last"))
     rows = rows.withColumn("__r", F.when(F.size("__t") == 7, direct).otherwise(_assign(F.col("__t"))))
-    rows = rows.select(doc, line, *[F.col(f"__r.{f}").alias(f) for f in FIELDS], F.element_at("__t", -1).alias("__tail"))
+    rows = rows.select(doc, line, *[F.col(f"__r.{f}").alias(f) for f in FIELDS], F.try_element_at("__t", F.lit(-1)).alias("__tail"))
     rows = rows.withColumn("reason", F.coalesce("reason", "__tail")).drop("__tail")
     carried = ["game_date", "game_time", "matchup", "team"]
     filled = fill_forward(rows, [doc], [line], carried)

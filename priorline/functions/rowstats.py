@@ -24,23 +24,29 @@ def row_count(columns: Sequence) -> Column:
     return _add([c.isNotNull().cast("int") for c in _doubles(columns)])
 
 
+def row_sum(columns: Sequence) -> Column:
+    return _add([F.coalesce(c, F.lit(0.0)) for c in _doubles(columns)])
+
+
 def row_mean(columns: Sequence) -> Column:
     n = row_count(columns)
-    return F.when(n > 0, _add([F.coalesce(c, F.lit(0.0)) for c in _doubles(columns)]) / n)
+    return F.when(n > 0, row_sum(columns) / n)
 
 
-def deviation_std(columns: Sequence, mean: Column) -> Column:
-    """Population std around a mean computed before."""
-    squares = [F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in _doubles(columns)]
-    n = row_count(columns)
-    return F.when(n > 0, F.sqrt(_add(squares) / n))
+def squared_deviations(columns: Sequence, mean: Column) -> Column:
+    return _add([F.coalesce((c - mean) * (c - mean), F.lit(0.0)) for c in _doubles(columns)])
+
+
+def sorted_deviations(columns: Sequence, center: Column) -> Column:
+    return F.sort_array(F.array(*[F.abs(c - center) for c in _doubles(columns)]))
 
 
 def row_std(columns: Sequence) -> Column:
     """Population std; a family of one column has none."""
     if len(columns) < 2:
         return F.lit(None).cast("double")
-    return deviation_std(columns, row_mean(columns))
+    n = row_count(columns)
+    return F.when(n > 0, F.sqrt(squared_deviations(columns, row_mean(columns)) / n))
 
 
 def row_range(columns: Sequence) -> Column:
@@ -76,13 +82,9 @@ def row_iqr(columns: Sequence) -> Column:
     return _quantile(columns, 0.75) - _quantile(columns, 0.25)
 
 
-def deviation_mad(columns: Sequence, center: Column) -> Column:
-    """Median absolute deviation from a median computed before."""
-    return _quantile([F.abs(c - center) for c in _doubles(columns)], 0.5)
-
-
 def row_mad(columns: Sequence) -> Column:
-    return deviation_mad(columns, row_median(columns))
+    """Median absolute deviation from the row median."""
+    return sorted_quantile(sorted_deviations(columns, row_median(columns)), row_count(columns), 0.5)
 
 
 def row_max_abs(columns: Sequence) -> Column:

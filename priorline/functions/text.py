@@ -15,7 +15,7 @@ def canonical_name(name: Column) -> Column:
 def first_last(name: Column) -> Column:
     """"Last, First" -> "First Last"; other text unchanged."""
     parts = F.split(name, r",\s*")
-    return F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))).otherwise(name)
+    return F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(F.get(parts, F.lit(1))), F.trim(F.get(parts, F.lit(0))))).otherwise(name)
 
 
 def matchup_sides(matchup: Column) -> tuple[Column, Column]:

@@ -89,7 +89,8 @@ def season_std(df: DataFrame, keys: SeriesKeys, value: str, hot=CHECK) -> DataFr
     of squares well conditioned.
     """
     group = [keys.entity, keys.season, keys.split]
-    first = df.groupBy(*group).agg(F.min(value).alias("__origin"))
+    known = F.when(F.col(value).isNotNull(), F.struct(*keys.order))
+    first = df.groupBy(*group).agg(F.min_by(value, known).alias("__origin"))
     out = attach(df, first, group)
     shifted = F.col(value) - F.col("__origin")
     totals = [

@@ -73,7 +73,7 @@ def _weights(span):
     "book_odds",
 )
 def w21(spark, sf_dir):
-    return rounded(L.ewm_before(_odds(spark, sf_dir), "game_date", "game_id", "error", L.EWM_SPANS, "ewm_{span}", None))
+    return rounded(L.ewm_before(_odds(spark, sf_dir), "game_date", "game_id", [L.Decayed("error", "mean", "ewm_{span}")]))
 
 
 def _ewm_std(s):
@@ -90,7 +90,7 @@ def _ewm_std(s):
     "book_odds",
 )
 def w22(spark, sf_dir):
-    return rounded(L.ewm_before(_odds(spark, sf_dir), "game_date", "game_id", "error", L.EWM_SPANS, None, "ewm_std_{span}"), 4)
+    return rounded(L.ewm_before(_odds(spark, sf_dir), "game_date", "game_id", [L.Decayed("error", "std", "ewm_std_{span}")]), 4)
 
 
 BOOKS = ["total_line_alpha", "total_line_bravo", "total_line_delta"]

@@ -17,6 +17,19 @@ SETTINGS = {
 }
 
 
+# Wide feature projections compile to very large methods, which HotSpot refuses to JIT above 8000
+# bytes of bytecode; Spark's documentation recommends this limit on HotSpot, where such a stage then
+# runs as separately compiled projections instead of interpreted bytecode.
+RUNTIME = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> None:
+    """Set the runtime options wide feature frames need, unless the session already sets them."""
+    for key, value in RUNTIME.items():
+        if spark.conf.get(key, None) in (None, "65535"):
+            spark.conf.set(key, value)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and bench; on a cluster the caller brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("priorline")
