@@ -25,17 +25,20 @@ def _glue(tokens: Column, from_end: int) -> Column:
 
 
 def _assign(tokens: Column) -> Column:
-    """Walk the tokens once and fill the report columns."""
+    """Walk the tokens once and fill the report columns.
+
+    Once the first token is placed, the last one stands as the reason until a later token replaces
+    it, and a token that already stands in a column is passed over.
+    """
     empty = F.struct(*[F.lit(None).cast("string").alias(f) for f in FIELDS], F.lit("").alias("last"))
 
     def step(state: Column, token: Column) -> Column:
         kind = token_kind(token, state["last"] == "player")
-        seen = F.array_contains(F.filter(F.array(*[state[f] for f in FIELDS]), lambda x: x.isNotNull()), token)
+        seen = F.array_contains(F.array_compact(F.array(*[state[f] for f in FIELDS])), token)
         use = kind.isNotNull() & ~seen
-        return F.struct(
-            *[F.when(use & (kind == f), token).otherwise(state[f]).alias(f) for f in FIELDS],
-            F.when(use, kind).otherwise(state["last"]).alias("last"),
-        )
+        placed = {f: F.when(use & (kind == f), token).otherwise(state[f]) for f in FIELDS}
+        placed["reason"] = F.coalesce(placed["reason"], F.try_element_at(tokens, F.lit(-1)))
+        return F.struct(*[c.alias(f) for f, c in placed.items()], F.when(use, kind).otherwise(state["last"]).alias("last"))
 
     return F.aggregate(tokens, empty, step)
 
@@ -63,8 +66,7 @@ def report_rows(blocks: DataFrame, doc: str, line: str, text: str) -> DataFrame:
     rows = rows.withColumn("__t", _glue(F.col("__t"), 2)).withColumn("__t", _glue(F.col("__t"), 3))
     direct = F.struct(*[F.get("__t", F.lit(i)).alias(f) for i, f in enumerate(FIELDS)], F.lit("").alias("last"))
     rows = rows.withColumn("__r", F.when(F.size("__t") == 7, direct).otherwise(_assign(F.col("__t"))))
-    rows = rows.select(doc, line, *[F.col(f"__r.{f}").alias(f) for f in FIELDS], F.try_element_at("__t", F.lit(-1)).alias("__tail"))
-    rows = rows.withColumn("reason", F.coalesce("reason", "__tail")).drop("__tail")
+    rows = rows.select(doc, line, *[F.col(f"__r.{f}").alias(f) for f in FIELDS])
     carried = ["game_date", "game_time", "matchup", "team"]
     filled = fill_forward(rows, [doc], [line], carried)
     return filled.select(doc, line, *FIELDS)

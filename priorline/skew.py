@@ -63,6 +63,11 @@ def find_hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
     return HotKeys(cut_lineage(counts.select(*keys)), int(total))
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 CHECK = "check"  # look for hot keys; None says the caller knows there are none
 
 
