@@ -7,6 +7,7 @@ from priorline.operators import effects, travel
 from priorline.operators.windows import trailing_days
 from priorline.plans.registry import query
 from priorline.plans.standins import rounded, standin, table
+from priorline.session import cut_lineage
 from priorline.skew import best_rows
 
 
@@ -73,14 +74,14 @@ _CREW_SQL = """names AS (SELECT DISTINCT game_id, trim(regexp_replace(replace(re
 
 
 def _crew(spark, sf_dir):
-    return effects.crews(standin(spark, sf_dir, "officials"), "game_id", canonical_name(F.col("raw_name")))
+    return cut_lineage(effects.crews(standin(spark, sf_dir, "officials"), "game_id", canonical_name(F.col("raw_name"))))
 
 
-def _ref_games(spark, sf_dir):
+def _ref_games(spark, sf_dir, crew):
     games = standin(spark, sf_dir, "games").selectExpr(
         "game_id", "season", "game_date", "home_pts + away_pts AS points", "home_pts + away_pts - total_line AS line_error"
     )
-    return games.join(_crew(spark, sf_dir).select("game_id"), "game_id", "left_semi")
+    return games.join(crew.select("game_id"), "game_id", "left_semi")
 
 
 _REF_SQL = f"""{_CREW_SQL}, pg AS (SELECT game_id, season, game_date, home_pts + away_pts AS points, home_pts + away_pts - total_line AS line_error
@@ -122,7 +123,7 @@ def c7(spark, sf_dir):
     crew = _crew(spark, sf_dir)
     members = crew.select("game_id", F.explode(F.array("ref_1", "ref_2", "ref_3")).alias("ref")).filter("ref IS NOT NULL")
     out = effects.participant_effects(
-        _ref_games(spark, sf_dir), members, game="game_id", season="season", date="game_date", member="ref", metrics=_METRICS
+        _ref_games(spark, sf_dir, crew), members, game="game_id", season="season", date="game_date", member="ref", metrics=_METRICS
     )
     std = {f"ref_std_{m}_diff_before": F.round(f"ref_std_{m}_diff_before", 4) for m in _METRICS}
     return rounded(out.withColumns(std), 5)
@@ -142,8 +143,9 @@ def c7(spark, sf_dir):
     "officials games",
 )
 def c8(spark, sf_dir):
+    crew = _crew(spark, sf_dir)
     out = effects.crew_effects(
-        _ref_games(spark, sf_dir), _crew(spark, sf_dir), game="game_id", season="season", date="game_date",
+        _ref_games(spark, sf_dir, crew), crew, game="game_id", season="season", date="game_date",
         slots=["ref_1", "ref_2", "ref_3"], metrics=_METRICS,
     )
     std = {f"ref_trio_{m}_std_before": F.round(f"ref_trio_{m}_std_before", 4) for m in _METRICS}
