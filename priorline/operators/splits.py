@@ -111,19 +111,23 @@ def season_folds(
     """Walk forward: train on the last N seasons seen before the first test date."""
     days = _calendar(df, date, season)
     folds: list[Fold] = []
-    start = 0
+    counts: dict[int, int] = {}  # rows per season before ``start``, in order of first appearance
+    firsts: dict[int, dt.date] = {}
+    start = counted = 0
     while start < len(days):
-        past = days[:start]
-        seasons = list(dict.fromkeys(s for _, _, s in past))
-        chosen = seasons[-train_seasons:]
-        used = [(d, n) for d, n, s in past if s in chosen]
-        rows = sum(n for _, n in used)
-        end = _test_window(days, start, test_games, excluded, True) if len(seasons) >= train_seasons and rows >= min_train else None
+        for day, n, s in days[counted:start]:
+            counts[s] = counts.get(s, 0) + n
+            firsts.setdefault(s, day)
+        counted = start
+        chosen = list(counts)[-train_seasons:]
+        rows = sum(counts[s] for s in chosen)
+        end = _test_window(days, start, test_games, excluded, True) if len(counts) >= train_seasons and rows >= min_train else None
         if end is None:
             start += 1
             continue
         test = sum(n for _, n, _ in days[start:end])
-        folds.append(Fold(len(folds) + 1, days[start][0], days[end - 1][0], used[0][0], tuple(chosen), None, 0, rows, test))
+        begin = min(firsts[s] for s in chosen)
+        folds.append(Fold(len(folds) + 1, days[start][0], days[end - 1][0], begin, tuple(chosen), None, 0, rows, test))
         start = max(start + 1, _advance(days, start, step_games or test_games))
     if not folds:
         raise ValueError("no valid folds")

@@ -34,12 +34,13 @@ def e1(spark, sf_dir):
 
 def _season_folds(spark, sf_dir):
     games = _games(spark, sf_dir).select("game_id", "game_date", "season")
-    return games, S.season_folds(games, "game_date", "season", train_seasons=3, test_games=600, min_train=300)
+    folds = S.season_folds(games, "game_date", "season", train_seasons=3, test_games=30, min_train=300)
+    return games, S.choose_folds(folds, 8, "latest")
 
 
 def _anchored(spark, sf_dir):
     games = _games(spark, sf_dir).select("game_id", "game_date", "season")
-    return games, S.anchored_folds(games, "game_date", "season", test_games=400, train_games=1000)
+    return games, S.anchored_folds(games, "game_date", "season", test_games=30, train_games=1000)
 
 
 @query("e2_season_folds")
