@@ -67,44 +67,63 @@ def window_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int, n:
     return out.withColumn(f"{value}_last_{reference}_minus_last_{n}_before", delta)
 
 
-def season_mean(df: DataFrame, keys: SeriesKeys, value: str, fallback_rows: int = 5, hot=CHECK) -> DataFrame:
-    """Season-to-date mean per split, else the previous season's mean, else the rolling mean."""
-    base = prior_mean_name(value, fallback_rows)
+def season_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], fallback_rows: int = 5, hot=CHECK) -> DataFrame:
+    """Season-to-date mean per split, else the previous season's mean, else the rolling mean.
+
+    All values share one running pass, one aggregate and one join.
+    """
     hot = look(df, keys, hot)
-    out = df if base in df.columns else prior_means(df, keys, [value], [fallback_rows], hot=hot)
+    missing = [v for v in values if prior_mean_name(v, fallback_rows) not in df.columns]
+    out = prior_means(df, keys, missing, [fallback_rows], hot=hot) if missing else df
+    shown = out.columns
     group = [keys.entity, keys.season, keys.split]
-    totals = [Total("sum", F.col(value), "__s"), Total("count", F.col(value), "__n")]
+    totals = [Total(kind, F.col(v), f"__{kind}_{v}") for v in values for kind in ("sum", "count")]
     out = running_totals(out, group, keys.order, totals, hot=narrower(hot))
-    before = previous_season(df, group, keys.season, [F.avg(value).alias("__prev")])
+    before = previous_season(df, group, keys.season, [F.avg(v).alias(f"__prev_{v}") for v in values])
     out = attach(out, before, group)
-    to_date = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
-    picked = F.coalesce(to_date, F.col("__prev"), F.col(base)).alias(f"{value}_season_before_avg")
-    return out.select("*", picked).drop("__s", "__n", "__prev")
 
+    def picked(v: str) -> Column:
+        to_date = F.when(F.col(f"__count_{v}") > 0, F.col(f"__sum_{v}") / F.col(f"__count_{v}"))
+        return F.coalesce(to_date, F.col(f"__prev_{v}"), F.col(prior_mean_name(v, fallback_rows)))
 
-def season_std(df: DataFrame, keys: SeriesKeys, value: str, hot=CHECK) -> DataFrame:
+    return out.select(*shown, *[picked(v).alias(f"{v}_season_before_avg") for v in values])
+
+
+def season_mean(df: DataFrame, keys: SeriesKeys, value: str, fallback_rows: int = 5, hot=CHECK) -> DataFrame:
+    return season_means(df, keys, [value], fallback_rows, hot)
+
+
+def season_stds(df: DataFrame, keys: SeriesKeys, values: Sequence[str], hot=CHECK) -> DataFrame:
     """Population std of the season so far, else the previous season's sample std.
 
     Running sums are taken of deviations from the season's first value, which keeps the difference
     of squares well conditioned.
     """
     group = [keys.entity, keys.season, keys.split]
-    known = F.when(F.col(value).isNotNull(), F.struct(*keys.order))
-    first = df.groupBy(*group).agg(F.min_by(value, known).alias("__origin"))
-    out = attach(df, first, group)
-    shifted = F.col(value) - F.col("__origin")
-    totals = [
-        Total("sum", shifted, "__s"),
-        Total("sum", shifted * shifted, "__q"),
-        Total("count", F.col(value), "__n"),
-    ]
+    first = [F.min_by(v, F.when(F.col(v).isNotNull(), F.struct(*keys.order))).alias(f"__origin_{v}") for v in values]
+    out = attach(df, df.groupBy(*group).agg(*first), group)
+    totals = []
+    for v in values:
+        shifted = F.col(v) - F.col(f"__origin_{v}")
+        totals += [
+            Total("sum", shifted, f"__s_{v}"),
+            Total("sum", shifted * shifted, f"__q_{v}"),
+            Total("count", F.col(v), f"__n_{v}"),
+        ]
     out = running_totals(out, group, keys.order, totals, hot=narrower(look(df, keys, hot)))
-    n = F.col("__n")
-    variance = F.greatest(F.col("__q") / n - (F.col("__s") / n) * (F.col("__s") / n), F.lit(0.0))
-    before = previous_season(df, group, keys.season, [F.stddev_samp(value).alias("__prev")])
+    before = previous_season(df, group, keys.season, [F.stddev_samp(v).alias(f"__prev_{v}") for v in values])
     out = attach(out, before, group)
-    picked = F.coalesce(F.when(n > 0, F.sqrt(variance)), F.col("__prev")).alias(f"{value}_season_before_std")
-    return out.select("*", picked).drop("__origin", "__s", "__q", "__n", "__prev")
+
+    def picked(v: str) -> Column:
+        n, mean = F.col(f"__n_{v}"), F.col(f"__s_{v}") / F.col(f"__n_{v}")
+        variance = F.greatest(F.col(f"__q_{v}") / n - mean * mean, F.lit(0.0))
+        return F.coalesce(F.when(n > 0, F.sqrt(variance)), F.col(f"__prev_{v}"))
+
+    return out.select(*df.columns, *[picked(v).alias(f"{v}_season_before_std") for v in values])
+
+
+def season_std(df: DataFrame, keys: SeriesKeys, value: str, hot=CHECK) -> DataFrame:
+    return season_stds(df, keys, [value], hot)
 
 
 def previous_season(df: DataFrame, group: Sequence[str], season: str, stats: Sequence[Column]) -> DataFrame:
@@ -301,11 +320,8 @@ def form_columns(
     out = prior_means(df, keys, values, list(means), hot=hot)
     out = weighted_means(out, keys, values, wma, hot=hot)
     out = trend_slopes(out, keys, values, slope, hot=hot)
-    for value in values:
-        out = season_mean(out, keys, value, 5 if 5 in means else max(means), hot=hot)
-    for value in std:
-        out = season_std(out, keys, value, hot=hot)
-    return out
+    out = season_means(out, keys, values, 5 if 5 in means else max(means), hot=hot)
+    return season_stds(out, keys, std, hot=hot) if std else out
 
 
 def form_families(columns: Sequence[str], patterns: Sequence[str]) -> list[str]:
