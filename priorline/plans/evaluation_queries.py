@@ -511,36 +511,51 @@ def _kept(df, columns):
     return df.drop(*columns)
 
 
-@query("q1_useless_columns")
+# The planted columns are known, so the SQL states which ones must be gone.
+_FEATURES = """f AS (SELECT game_id, total_line_alpha, total_line_bravo, total_line_bravo AS bravo_copy, spread_alpha_line_home AS spread_home,
+      spread_alpha_line_away AS spread_mirror, total_line_delta * 2 + 1 AS delta_scaled, total_line_delta, CAST(3 AS DOUBLE) AS constant,
+      CASE WHEN game_id % 20 = 0 THEN CAST(1 AS DOUBLE) END AS mostly_null, CAST(game_id AS VARCHAR) AS text, home_team AS home_team_id FROM book_odds)"""
+
+
+@query("q1_useless_columns", f"WITH {_FEATURES} SELECT * EXCLUDE (constant, mostly_null, text, home_team_id) FROM f", "book_odds")
 def q1(spark, sf_dir):
     df = _features(spark, sf_dir)
     return _kept(df, Q.useless_columns(df, protected=["game_id"]))
 
 
-@query("q2_duplicate_columns")
+@query("q2_duplicate_columns", f"WITH {_FEATURES} SELECT * EXCLUDE (bravo_copy) FROM f", "book_odds")
 def q2(spark, sf_dir):
     df = _features(spark, sf_dir)
     return _kept(df, Q.duplicate_columns(df, "game_id"))
 
 
-@query("q3_correlated_columns")
+@query("q3_correlated_columns", f"WITH {_FEATURES} SELECT * EXCLUDE (bravo_copy, spread_mirror, constant, mostly_null, delta_scaled) FROM f", "book_odds")
 def q3(spark, sf_dir):
     df = _features(spark, sf_dir).drop("bravo_copy", "spread_mirror", "constant", "mostly_null")
     return _kept(df, Q.correlated_columns(df, "game_id"))
 
 
-@query("q4_absolute_twins")
+@query("q4_absolute_twins", f"WITH {_FEATURES} SELECT * EXCLUDE (spread_mirror) FROM f", "book_odds")
 def q4(spark, sf_dir):
     df = _features(spark, sf_dir)
     return _kept(df, Q.absolute_twins(df, "game_id"))
 
 
-@query("q5_clean_for_training")
+@query(
+    "q5_clean_for_training",
+    f"""WITH {_FEATURES} SELECT game_id, total_line_alpha, total_line_bravo, spread_mirror, total_line_delta FROM f
+        WHERE total_line_alpha > 100 AND (total_line_bravo IS NULL)::INT + (spread_mirror IS NULL)::INT + (total_line_delta IS NULL)::INT <= 1""",
+    "book_odds",
+)
 def q5(spark, sf_dir):
     return Q.clean_for_training(_features(spark, sf_dir), "game_id", line="total_line_alpha", exclude=["constant"], most_nulls=1)
 
 
-@query("q6_policy")
+@query(
+    "q6_policy",
+    "SELECT game_id, 'total_line_alpha' AS required, '' AS keep_null, 'n_absent' AS zero_fill, 'pts_last_all_5_before' AS infer, 'total_line_alpha' AS flag FROM games",
+    "games",
+)
 def q6(spark, sf_dir):
     columns = ["total_line_alpha", "n_absent", "pts_last_all_5_before", "pts_season_before_avg", "x"]
     p = Q.resolve_policy(columns, Q.MissingRules(), line="total_line_alpha")
