@@ -80,7 +80,7 @@ def season_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], fallbac
     totals = [Total(kind, F.col(v), f"__{kind}_{v}") for v in values for kind in ("sum", "count")]
     out = running_totals(out, group, keys.order, totals, hot=narrower(hot))
     before = previous_season(df, group, keys.season, [F.avg(v).alias(f"__prev_{v}") for v in values])
-    out = attach(out, before, group)
+    out = attach(out, before, group, null_safe=False)
 
     def picked(v: str) -> Column:
         to_date = F.when(F.col(f"__count_{v}") > 0, F.col(f"__sum_{v}") / F.col(f"__count_{v}"))
@@ -112,7 +112,7 @@ def season_stds(df: DataFrame, keys: SeriesKeys, values: Sequence[str], hot=CHEC
         ]
     out = running_totals(out, group, keys.order, totals, hot=narrower(look(df, keys, hot)))
     before = previous_season(df, group, keys.season, [F.stddev_samp(v).alias(f"__prev_{v}") for v in values])
-    out = attach(out, before, group)
+    out = attach(out, before, group, null_safe=False)
 
     def picked(v: str) -> Column:
         n, mean = F.col(f"__n_{v}"), F.col(f"__s_{v}") / F.col(f"__n_{v}")

@@ -33,11 +33,17 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join columns of ``small`` to ``df`` on null-safe keys, keeping one copy of the keys."""
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = True) -> DataFrame:
+    """Join columns of ``small`` to ``df``, keeping one copy of the keys.
+
+    Null-safe keys match as grouping does, but Spark then hashes (coalesce(k), isnull(k)) and cannot
+    reuse a partitioning by k.  Where a null key has no meaning (no team, no season), plain equality
+    saves that shuffle of the large side.
+    """
     renamed = small.select(*[F.col(c).alias(f"__r_{c}" if c in keys else c) for c in small.columns])
-    condition = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
-    return df.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+    pairs = [(df[k], renamed[f"__r_{k}"]) for k in keys]
+    terms = [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
+    return df.join(renamed, reduce(lambda a, b: a & b, terms), how).drop(*[f"__r_{k}" for k in keys])
 
 
 @dataclass
