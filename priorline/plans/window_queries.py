@@ -308,3 +308,13 @@ def w8(spark, sf_dir):
     out = W.trend_slopes(W.weighted_means(out, KEYS, values, 5), KEYS, values, 5)
     slopes = {f"{v}_trend_slope_last_5_before": F.round(f"{v}_trend_slope_last_5_before", 4) for v in values}
     return rounded(out.drop("entity", "season", "home", "ts", *values).withColumns(slopes))
+
+
+def flagship(spark, sf_dir):
+    """Prior-5 mean, split-relative mean and 10-minus-5 delta of every event, from one look at the keys."""
+    rows = _series(spark, sf_dir)
+    hot = W.look(rows, KEYS, W.CHECK)
+    out = W.prior_means(rows, KEYS, ["pts"], [5, 10], hot=hot)
+    out = W.window_delta(W.split_relative_mean(out, KEYS, "pts", 5, hot=hot), KEYS, "pts", 10, 5)
+    names = ["pts_last_all_5_before", "pts_last_all_10_before", "pts_last_split_5_before", "pts_last_10_minus_last_5_before"]
+    return rounded(out.select("event_id", "entity", *names))
