@@ -78,8 +78,8 @@ def cross_entropy_difference(spark, sf_dir):
     """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 part AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
@@ -101,10 +101,10 @@ base AS (SELECT source, n, 1 + floor(e)::INT AS b, row_number() OVER (ORDER BY e
 share AS (SELECT source, n, b + CASE WHEN o <= spare THEN 1 ELSE 0 END AS k, row_number() OVER (ORDER BY source) - 1 AS i FROM base),
 lists AS (SELECT list(k ORDER BY i) AS ks FROM share),
 walk(slot, done, pick) AS (
-  SELECT -1, list_transform(ks, x -> 0), -1 FROM lists
+  SELECT -1, list_transform(ks, lambda x: 0), -1 FROM lists
   UNION ALL
-  SELECT slot + 1, list_transform(range(len(ks)), i -> done[i + 1] + CASE WHEN i = p THEN 1 ELSE 0 END), p
-  FROM (SELECT slot, done, ks, (list_min(list_transform(range(len(ks)), i ->
+  SELECT slot + 1, list_transform(range(len(ks)), lambda i: done[i + 1] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (SELECT slot, done, ks, (list_min(list_transform(range(len(ks)), lambda i:
           CASE WHEN done[i + 1] < ks[i + 1] AND done[i + 1] * 1000 // ks[i + 1] <= slot + 1
                THEN {'d': ((done[i + 1] + 1) * 1000 + ks[i + 1] - 1) // ks[i + 1], 'i': i} END))).i::INT AS p
         FROM walk, lists WHERE slot < 999)),
@@ -190,7 +190,7 @@ spans AS (SELECT p, act, 1704067200 + day * 86400 AS since, 1704067200 + lead(da
 probes AS (
   SELECT page_id, t, array_to_string(labels[i:], '.') AS p FROM (SELECT *, unnest(range(1, len(labels) + 1)) AS i FROM keyed)
   UNION SELECT page_id, t, h || '/' || array_to_string(parts[1:i], '/') FROM
-    (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM keyed))),
+    (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM keyed))),
 hits AS (SELECT page_id, p, act, row_number() OVER (PARTITION BY page_id ORDER BY length(p) DESC, p DESC) AS o
   FROM probes JOIN spans USING (p) WHERE act IN ('allow', 'block') AND since <= t AND (until IS NULL OR t < until))
 SELECT seen.page_id, seen.url, make_timestamp(t * 1000000) AS fetched_at, p AS matched, coalesce(act = 'block', false) AS blocked

@@ -44,7 +44,9 @@ def validity(entries: DataFrame, pattern: str = "pattern", action: str = "action
     statements with the same date the least action by name counts (allow, then block, then removed).
     Rows with a null pattern, action or date say nothing; repeated rows are one statement.
     """
-    clean = entries.select(F.lower(F.col(pattern)).alias("pattern"), F.lower(F.col(action)).alias("action"), F.col(dated).cast("timestamp").alias("since")).dropna()
+    name = F.substring_index(F.col(pattern), "/", 1)  # domains have no case, paths have
+    whole = F.concat(F.lower(name), F.substring(F.col(pattern), F.length(name) + 1, F.length(F.col(pattern))))
+    clean = entries.select(whole.alias("pattern"), F.lower(F.col(action)).alias("action"), F.col(dated).cast("timestamp").alias("since")).dropna()
     daily = clean.groupBy("pattern", "since").agg(F.min("action").alias("action"))
     after = F.lead("since").over(Window.partitionBy("pattern").orderBy("since"))
     return daily.withColumn("until", after).filter(F.col("action").isin(ALLOW, BLOCK))
@@ -70,6 +72,6 @@ def evaluate(
     probes = named.select("__u", "__f", F.explode(F.array_distinct(keys)).alias("pattern"))
     hits = probes.join(spans, "pattern").filter((F.col("since") <= F.col("__f")) & (F.col("until").isNull() | (F.col("__f") < F.col("until"))))
     decided = hits.groupBy("__u", "__f").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action")).alias("__d"))
-    out = without(captures, "matched", "blocked")
-    out = out.join(decided, (out[url] == F.col("__u")) & (out[fetched].cast("timestamp") == F.col("__f")), "left")
-    return out.select(*[out[c] for c in out.columns], F.col("__d.pattern").alias("matched"), F.coalesce(F.col("__d.action") == BLOCK, F.lit(False)).alias("blocked"))
+    rows = without(captures, "matched", "blocked")
+    out = rows.join(decided, (F.col(url) == F.col("__u")) & (F.col(fetched).cast("timestamp") == F.col("__f")), "left")
+    return out.select(*rows.columns, F.col("__d.pattern").alias("matched"), F.coalesce(F.col("__d.action") == BLOCK, F.lit(False)).alias("blocked"))
