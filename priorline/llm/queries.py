@@ -197,7 +197,8 @@ SELECT seen.page_id, seen.url, make_timestamp(t * 1000000) AS fetched_at, p AS m
 FROM seen LEFT JOIN hits ON hits.page_id = seen.page_id AND o = 1""",
 )
 def url_filters(spark, sf_dir):
-    return urls.evaluate(captures(spark, sf_dir), listed(spark, sf_dir))
+    found = urls.evaluate(captures(spark, sf_dir), listed(spark, sf_dir))
+    return found.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
 
 
 @_query("op9_lookup_sketches")
