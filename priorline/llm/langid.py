@@ -72,7 +72,8 @@ class CrossParser:
         table = np.tile(root, (len(moves), 1))
         state = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         pairs = np.array([x for m in moves for x in m.items()], np.int64).reshape(-1, 2)
-        table[state, self.symbol[pairs[:, 0]]] = pairs[:, 1] * width * 2
+        inner = state > 0  # the root is only met again after an unknown symbol, when any symbol opens a phrase
+        table[state[inner], self.symbol[pairs[inner, 0]]] = pairs[inner, 1] * width * 2
         return table.ravel()
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

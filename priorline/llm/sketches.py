@@ -101,7 +101,7 @@ def peel(difference: Column, cells: int) -> Column:
     def round_(state: Column, _: Column) -> Column:
         seen = F.array_distinct(F.filter(F.transform(state["cells"], pure), lambda p: p.isNotNull()))
         put = F.transform(seen, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), _check(p["k"]).alias("x"), *[_place(p["k"], t, cells).alias(f"p{t}") for t in range(TABLES)]))
-        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), put.alias("put"))
+        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), put.alias("put"), state["over"].alias("over"))
 
     def take(state: Column) -> Column:
         def cell(c: Column, j: Column) -> Column:
@@ -113,14 +113,14 @@ def peel(difference: Column, cells: int) -> Column:
         left = F.when(F.size(state["put"]) > 0, F.transform(state["cells"], cell)).otherwise(state["cells"])
         got = F.concat(state["found"], F.transform(state["put"], lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"))))
         none = F.array().cast("array<struct<k:bigint,n:bigint,x:bigint,p0:int,p1:int,p2:int>>")
-        return F.struct(left.alias("cells"), got.alias("found"), none.alias("put"))
+        return F.struct(left.alias("cells"), got.alias("found"), none.alias("put"), (F.size(state["put"]) == 0).alias("over"))
 
     start = F.struct(
-        difference.alias("cells"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("found"), F.array().cast("array<struct<k:bigint,n:bigint,x:bigint,p0:int,p1:int,p2:int>>").alias("put")
+        difference.alias("cells"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("found"), F.array().cast("array<struct<k:bigint,n:bigint,x:bigint,p0:int,p1:int,p2:int>>").alias("put"), F.lit(False).alias("over")
     )
     # a round finds what is pure, the next step takes it out
     steps = F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1))
-    end = F.aggregate(steps, start, lambda s, i: F.when(i % 2 == 0, round_(s, i)).otherwise(take(s)))
+    end = F.aggregate(steps, start, lambda s, i: F.when(s["over"], s).when(i % 2 == 0, round_(s, i)).otherwise(take(s)))
     empty = ~F.exists(end["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0))
     return F.when(empty, end["found"])
 
@@ -178,8 +178,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = following(rows.select("k").distinct())
     # what each document needs of the next: at most a quarter of its own length, for the longest of its rows
     asked = rows.groupBy("k").agg(F.max(F.floor(F.col("n") / 4)).cast("int").alias("need")).join(order, "k").select(F.col("k").alias("by"), F.col("next").alias("k"), "need")
-    piece = F.substring(F.col("text"), F.lit(1), F.col("need"))
-    given = rows.join(asked, "k").select("by", F.struct(piece.alias("piece"), F.sha2("text", 256).alias("h"), "d", "l").alias("next"))
+    piece = F.substring(F.col("text"), F.lit(1), F.least("need", "n"))
+    # reads the same columns as the join below, so that both share one shuffle of the texts
+    given = rows.join(asked, "k").select("by", F.struct(piece.alias("piece"), F.sha2("text", 256).alias("h"), "d", "l", "id").alias("next"))
     given = given.groupBy("by").agg(F.min("next").alias("next"))
     both = rows.join(given, F.col("k") == F.col("by"))
     quarter = F.floor(F.col("n") / 4).cast("int")
