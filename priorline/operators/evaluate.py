@@ -229,7 +229,10 @@ def game_level(
     tag_value: str | None = None,
     cutoff=None,
 ) -> DataFrame:
-    """Latest prediction per game and model (a total-points row wins equal stamps), pivoted by model."""
+    """Latest prediction per game and model (a total-points row wins equal stamps), pivoted by model.
+
+    A model in the kept rows that ``models`` does not name is an error, so none is left out unseen.
+    """
     rows = log if tag is None else log.filter(F.trim(tag) == tag_value)
     if cutoff is not None:
         rows = rows.filter(F.col(stamp) <= F.lit(cutoff))
@@ -240,6 +243,8 @@ def game_level(
             "__prefer": (F.upper(kind) == "TOTAL_POINTS").cast("int"),
         }
     )
+    unknown = F.raise_error(F.concat(F.lit("model without a column: "), F.coalesce(F.col(model).cast("string"), F.lit("null"))))
+    rows = rows.withColumn(model, F.when(F.col(model).isin(list(models)), F.col(model)).otherwise(unknown))
     latest = best_rows(rows, [game, model], [F.desc(stamp), F.desc("__prefer"), *[F.desc(t) for t in ties]])
     wide = latest.groupBy(game).pivot(model, list(models)).agg(F.max(total).alias("total"), F.max(normal_pick(F.col(pick))).alias("pick"))
     return wide.withColumnsRenamed({f"{m}_{c}": f"{c}_{m}" for m in models for c in ("total", "pick")})

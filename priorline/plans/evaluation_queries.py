@@ -35,7 +35,7 @@ def e1(spark, sf_dir):
 def _season_folds(spark, sf_dir):
     games = _games(spark, sf_dir).select("game_id", "game_date", "season")
     folds = S.season_folds(games, "game_date", "season", train_seasons=3, test_games=30, min_train=300)
-    return games, S.choose_folds(folds, 8, "latest")
+    return games, folds
 
 
 def _anchored(spark, sf_dir):
@@ -320,22 +320,24 @@ def e18(spark, sf_dir):
     return E.model_catalogue(rows, "blank", "model", "blank", "predicted_on", "_2", TIES)
 
 
-_LATEST = """lp AS (SELECT * FROM (SELECT *, CASE WHEN prediction_type = 'TOTAL_POINTS' THEN predicted_total END AS tot, CASE WHEN prediction_type <> 'TOTAL_POINTS' THEN predicted_total - line END AS err FROM scored WHERE tag <> 'A' AND predicted_on <= DATE '2000-12-31')
+_LATEST = """lp AS (SELECT * FROM (SELECT *, CASE WHEN prediction_type = 'TOTAL_POINTS' THEN predicted_total END AS tot, CASE WHEN prediction_type <> 'TOTAL_POINTS' THEN predicted_total - line END AS err FROM scored WHERE {{tagged}} AND predicted_on <= DATE '2000-12-31')
       QUALIFY row_number() OVER (PARTITION BY game_id, model ORDER BY predicted_on DESC, CASE WHEN prediction_type = 'TOTAL_POINTS' THEN 1 ELSE 0 END DESC, line_no DESC, part_id DESC, run_id DESC, cents DESC) = 1),
     wide AS (SELECT game_id, {cols} FROM lp GROUP BY 1)"""
 _WIDE = ", ".join(f"max(coalesce(tot, line + err)) FILTER (model = '{m}') AS total_{m}, max(upper(side_pick)) FILTER (model = '{m}') AS pick_{m}" for m in MODELS)
 _LATEST = _LATEST.format(cols=_WIDE)
+_TAGGED = _LATEST.format(tagged="trim(tag) = 'N'")
+_LATEST = _LATEST.format(tagged="true")
 
 
-def _wide(spark, sf_dir):
-    log = _scored(spark, sf_dir).filter("tag <> 'A'")
+def _wide(spark, sf_dir, tag_value=None):
+    log = _scored(spark, sf_dir)
     direct = F.col("prediction_type") == "TOTAL_POINTS"
     log = log.withColumns(
-        {"tot": F.when(direct, F.col("predicted_total")), "err": F.when(~direct, F.col("predicted_total") - F.col("line")), "label": F.lit(" 1.0 ")}
+        {"tot": F.when(direct, F.col("predicted_total")), "err": F.when(~direct, F.col("predicted_total") - F.col("line"))}
     )
     return E.game_level(
         log, game="game_id", model="model", stamp="predicted_on", total="tot", error="err", line="line", pick="side_pick", kind="prediction_type", models=MODELS, ties=TIES,
-        tag="label", tag_value="1.0", cutoff="2000-12-31",
+        tag=tag_value and "tag", tag_value=tag_value, cutoff="2000-12-31",
     )
 
 
@@ -344,6 +346,11 @@ def e19(spark, sf_dir):
     return _wide(spark, sf_dir)
 
 
+@query("e19_game_level_tagged", f"WITH {_TAGGED} SELECT * FROM wide", "scored")
+def e19_tagged(spark, sf_dir):
+    return _wide(spark, sf_dir, "N")
+
+
 def _consensus(spark, sf_dir):
     results = _games(spark, sf_dir).selectExpr("game_id", "game_date", "total_line AS line", "home_pts + away_pts AS actual")
     scored = E.score_models(_wide(spark, sf_dir).join(results, "game_id"), MODELS, "line", "actual")

@@ -69,7 +69,7 @@ def _weights(span):
     + ", ".join(
         f"round(sum({_weights(s)} * error) / sum(CASE WHEN error IS NOT NULL THEN {_weights(s)} END), 6) AS ewm_{s}" for s in L.EWM_SPANS
     )
-    + " FROM d LEFT JOIN r ON r.i < s AND r.i >= s - 1300 GROUP BY d.game_date",
+    + " FROM d LEFT JOIN r ON r.i < s GROUP BY d.game_date",
     "book_odds",
 )
 def w21(spark, sf_dir):
@@ -86,7 +86,7 @@ def _ewm_std(s):
     "w22_league_ewm_std",
     f"""WITH {_INDEXED} SELECT d.game_date, """
     + ", ".join(_ewm_std(s) for s in L.EWM_SPANS)
-    + " FROM d LEFT JOIN r ON r.i < s AND r.i >= s - 1300 GROUP BY d.game_date",
+    + " FROM d LEFT JOIN r ON r.i < s GROUP BY d.game_date",
     "book_odds",
 )
 def w22(spark, sf_dir):
@@ -150,7 +150,7 @@ def _regime_sql():
         d AS (SELECT game_date, min(i) AS s FROM v GROUP BY 1),
         g AS (SELECT d.game_date, {', '.join(g)} FROM d LEFT JOIN v ON v.i < s AND v.i >= s - 150 GROUP BY d.game_date),
         dd AS (SELECT d.game_date, {', '.join(d)} FROM d LEFT JOIN v ON v.game_date < d.game_date AND v.game_date >= d.game_date - 14 GROUP BY d.game_date),
-        e AS (SELECT d.game_date, {', '.join(e)} FROM d LEFT JOIN v ON v.i < s AND v.i >= s - 1300 GROUP BY d.game_date),
+        e AS (SELECT d.game_date, {', '.join(e)} FROM d LEFT JOIN v ON v.i < s GROUP BY d.game_date),
         t AS (SELECT * FROM g JOIN dd USING (game_date) JOIN e USING (game_date)),
         u AS (SELECT *, {', '.join(ratios)} FROM t)
         SELECT game_id, {shown}, round(list_stddev_pop([total_line_alpha, total_line_bravo, total_line_delta]), 5) AS this_game_crossbook_total_std_before,

@@ -243,15 +243,17 @@ def _slice_results(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def best_rows(
-    df: DataFrame, keys: Sequence[str], ordering: Sequence[Column], k: int = 1, rank: str | None = None, salts: int = 64
+    df: DataFrame, keys: Sequence[str], ordering: Sequence[Column], k: int | None = 1, rank: str | None = None, salts: int = 64
 ) -> DataFrame:
-    """The first ``k`` rows of each key.
+    """The first ``k`` rows of each key, or all of them where ``k`` is None.
 
     Spark trims row_number() <= k before the shuffle while k is small; beyond that a salted first
     round does the same, so a hot key never arrives whole in one task.
     """
     name = rank or "__rank"
     trimmed = df
+    if k is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*ordering))) if rank else df
     if k > GROUP_LIMIT:
         salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
         first = Window.partitionBy(*keys, "__salt").orderBy(*ordering)
