@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from priorline.llm.common import without
 
 SPACE = "▁"
-KEPT = 600_000  # chunks a worker remembers
+KEPT = 400_000  # chunks a worker remembers
 GROUP = 64
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # fixed values of the public model format
@@ -231,7 +231,7 @@ def _pieces(data: bytes, threads: int) -> Pieces:
     return _LOADED[data]
 
 
-BATCH = 8 << 20  # characters encoded at a time
+BATCH = 2 << 20  # characters encoded at a time
 
 
 def _batches(texts: pa.Array) -> Iterator[list[str]]:
