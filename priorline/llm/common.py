@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.session import work_folder
@@ -28,6 +28,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in gone])
 
 
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in smaller Arrow batches than the default of 10,000 rows, unless the session chose a size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether at most ``rows`` rows exist; reads no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows

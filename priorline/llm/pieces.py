@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from priorline.llm.common import without
 
 SPACE = "▁"
-KEPT = 400_000  # chunks a worker remembers
+KEPT = 150_000  # chunks a worker remembers
 GROUP = 64
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # fixed values of the public model format

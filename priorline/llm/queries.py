@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.llm import langid, lm, mixing, pieces, pii, simhash, sketches, substrings, urls, vectors
+from priorline.llm.common import small_batches
 from priorline.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,7 @@ def _query(name: str, sql: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tune(spark)
+            small_batches(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
