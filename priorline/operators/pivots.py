@@ -73,17 +73,35 @@ def public_pivot(df: DataFrame, keys: Sequence[str], team: str, matchup: str, ro
     return grouped.select(*keys, *[c for c in shared if c not in keys], *picks, f"{line}_over", f"{line}_under")
 
 
-def modes_and_means(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Most common value (smallest of equals) and mean of each column per group.
+def common_values(df: DataFrame, keys: Sequence[str], values: Sequence[str], position: str | None = None) -> DataFrame:
+    """Mean and most common value of each column per group; of equals the first by ``position``, else the smallest.
 
-    Each column is counted per (group, value) first, so a hot group is combined map-side.
+    All columns are counted per (group, column, value) in one pass, so a hot group is combined map-side;
+    columns of different types take one pass per type.
     """
-    out = df.groupBy(*keys).agg(*[F.avg(v).alias(f"average_{v}") for v in values])
-    for v in values:
-        counts = df.filter(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.count(F.lit(1)).alias("__n"))
-        top = counts.groupBy(*keys).agg(F.min_by(v, F.struct(-F.col("__n"), F.col(v))).alias(f"most_common_{v}"))
-        out = attach(out, top, keys)
-    return out
+    types = {v: df.schema[v].dataType.simpleString() for v in values}
+    if len(set(types.values())) > 1:
+        parts = [common_values(df, keys, [v for v in values if types[v] == t], position) for t in dict.fromkeys(types.values())]
+        out = parts[0]
+        for part in parts[1:]:
+            out = attach(out, part, keys)
+        return out.select(*keys, *[f"{kind}_{v}" for kind in ("average", "most_common") for v in values])
+    place = F.col(position) if position else F.lit(0)
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(v).alias("v")) for i, v in enumerate(values)]))
+    long = df.select(*keys, place.alias("__at"), pairs.alias("__p")).select(*keys, "__at", F.col("__p.c").alias("__c"), F.col("__p.v").alias("__v"))
+    counts = long.groupBy(*keys, "__c", "__v").agg(F.count("__v").alias("__n"), F.min("__at").alias("__at"), F.sum("__v").alias("__s"))
+    means, modes = [], []
+    for i, v in enumerate(values):
+        mine = (F.col("__c") == i) & (F.col("__n") > 0)
+        n = F.sum(F.when(mine, F.col("__n")))
+        means.append((F.sum(F.when(mine, F.col("__s"))) / n).alias(f"average_{v}"))
+        modes.append(F.min_by("__v", F.when(mine, F.struct(-F.col("__n"), F.col("__at"), F.col("__v")))).alias(f"most_common_{v}"))
+    return counts.groupBy(*keys).agg(*means, *modes)
+
+
+def modes_and_means(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Most common value (smallest of equals) and mean of each column per group."""
+    return common_values(df, keys, values)
 
 
 LINE_RULES = {
@@ -104,13 +122,7 @@ def line_summary(lines: DataFrame, keys: Sequence[str], position: str) -> DataFr
         clean[c] = F.when(F.abs(F.col(c)) >= LINE_RULES[c], F.col(c))
     for c in ("over_money", "under_money"):
         clean[c] = F.when(ok_total & (F.abs(F.col(c)) > MONEY_LIMIT), american_to_decimal(F.col(c)))
-    rows = lines.withColumns(clean)
-    out = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"average_{c}") for c in clean])
-    for c in clean:
-        counts = rows.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__n"), F.min(position).alias("__at"))
-        top = counts.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("__n"), F.col("__at"))).alias(f"most_common_{c}"))
-        out = attach(out, top, keys)
-    return out
+    return common_values(lines.withColumns(clean), keys, list(clean), position)
 
 
 def null_shares(df: DataFrame) -> DataFrame:

@@ -47,16 +47,21 @@ def look(df: DataFrame, keys: SeriesKeys, hot):
     return find_hot_keys(df, [keys.entity]) if isinstance(hot, str) else hot
 
 
-def split_relative_mean(df: DataFrame, keys: SeriesKeys, value: str, n: int, by_season: bool = False, hot=CHECK) -> DataFrame:
-    """Prior-n mean within the same split minus the prior-n mean over all rows."""
-    base = prior_mean_name(value, n)
+def split_relative_means(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, by_season: bool = False, hot=CHECK) -> DataFrame:
+    """Prior-n mean within the same split minus the prior-n mean over all rows; all values share one window."""
     hot = look(df, keys, hot)
-    out = df if base in df.columns else prior_means(df, keys, [value], [n], by_season, narrower(hot))
+    missing = [v for v in values if prior_mean_name(v, n) not in df.columns]
+    out = prior_means(df, keys, missing, [n], by_season, narrower(hot)) if missing else df
     partition = [keys.entity, keys.season, keys.split] if by_season else [keys.entity, keys.split]
     same = bounded_frames(
-        out, partition, keys.order, n, lambda w: [F.avg(value).over(prior(w, n)).alias("__same")], hot=narrower(hot)
+        out, partition, keys.order, n, lambda w: [F.avg(v).over(prior(w, n)).alias(f"__same_{v}") for v in values], hot=narrower(hot)
     )
-    return same.withColumn(f"{value}_last_split_{n}_before", F.col("__same") - F.col(base)).drop("__same")
+    made = {f"{v}_last_split_{n}_before": F.col(f"__same_{v}") - F.col(prior_mean_name(v, n)) for v in values}
+    return same.withColumns(made).drop(*[f"__same_{v}" for v in values])
+
+
+def split_relative_mean(df: DataFrame, keys: SeriesKeys, value: str, n: int, by_season: bool = False, hot=CHECK) -> DataFrame:
+    return split_relative_means(df, keys, [value], n, by_season, hot)
 
 
 def window_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int, n: int, by_season: bool = False):
@@ -189,13 +194,19 @@ def weighted_delta(df: DataFrame, keys: SeriesKeys, value: str, reference: int,
     return out.withColumn(f"{value}_wma_{reference}_minus_wma_{n}_before", delta)
 
 
-def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, shift_current: bool = True, hot=CHECK):
+def slope_name(value: str, n: int) -> str:
+    return f"{value}_trend_slope_last_{n}_before"
+
+
+def trend_slopes(
+    df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, shift_current: bool = True, by_split: bool = False, hot=CHECK
+):
     """OLS slope over the non-null values among the last n rows of the season; null below two points.
 
     Points are numbered by a running count of non-null values, which differs from 1..m only by an
-    offset and leaves the slope unchanged.
+    offset and leaves the slope unchanged.  ``by_split`` reads only rows of the same split.
     """
-    partition = [keys.entity, keys.season]
+    partition = [keys.entity, keys.season, *([keys.split] if by_split else [])]
     counts = [Total("count", F.col(v), f"__x_{v}") for v in values]
     known = narrower(look(df, keys, hot))
     out = running_totals(df, partition, keys.order, counts, include_current=True, hot=known)
@@ -204,7 +215,7 @@ def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int,
         frame = prior(w, n) if shift_current else w.rowsBetween(-(n - 1), 0)
         return [
             F.when(F.count(v).over(frame) >= 2, F.regr_slope(F.col(v), F.col(f"__x_{v}").cast("double")).over(frame)).alias(
-                f"{v}_trend_slope_last_{n}_before"
+                slope_name(v, n)
             )
             for v in values
         ]
@@ -212,6 +223,27 @@ def trend_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int,
     return bounded_frames(out, partition, keys.order, n, slopes, hot=known).drop(*[f"__x_{v}" for v in values])
 
 
+def split_relative_slopes(df: DataFrame, keys: SeriesKeys, values: Sequence[str], n: int, hot=CHECK) -> DataFrame:
+    """Slope over the last n rows of the same split minus the slope over the last n rows."""
+    hot = look(df, keys, hot)
+    missing = [v for v in values if slope_name(v, n) not in df.columns]
+    out = trend_slopes(df, keys, missing, n, hot=hot) if missing else df
+    aside = {slope_name(v, n): f"__all_{v}" for v in values}
+    same = trend_slopes(out.withColumnsRenamed(aside), keys, values, n, by_split=True, hot=hot)
+    made = {f"{v}_trend_slope_split_{n}_before": F.col(slope_name(v, n)) - F.col(f"__all_{v}") for v in values}
+    return same.withColumns(made).drop(*aside).withColumnsRenamed({a: name for name, a in aside.items()})
+
+
+def slope_deltas(df: DataFrame, keys: SeriesKeys, values: Sequence[str], reference: int, n: int, hot=CHECK) -> DataFrame:
+    """Slope over the last ``reference`` rows minus the slope over the last ``n``."""
+    out, hot = df, look(df, keys, hot)
+    for size in (reference, n):
+        missing = [v for v in values if slope_name(v, size) not in out.columns]
+        out = trend_slopes(out, keys, missing, size, hot=hot) if missing else out
+    deltas = {f"{v}_trend_slope_last_{reference}_minus_last_{n}_before": F.col(slope_name(v, reference)) - F.col(slope_name(v, n)) for v in values}
+    return out.withColumns(deltas)
+
+
 def records(df: DataFrame, group: Sequence[str], order: Sequence[str], result: str) -> DataFrame:
     """Game number, wins and win ratio before each game; 0 before the first (the documented rule)."""
     win = F.when(F.col(result) == "W", 1).otherwise(0)
@@ -313,14 +345,26 @@ def form_columns(
     means: Sequence[int] = (1, 2, 3, 5, 10),
     wma: int = 5,
     slope: int = 5,
+    long_slope: int = 10,
     std: Sequence[str] = (),
 ) -> DataFrame:
-    """All standard form columns of every value; values of one window kind share a single pass."""
+    """All standard form columns of every value; values of one window kind share a single pass.
+
+    Besides the plain columns: the mean and slope within the split relative to all rows, and the
+    differences between the middle and the longest mean and between both slopes.
+    """
     hot = look(df, keys, CHECK)
+    middle = 5 if 5 in means else max(means)
     out = prior_means(df, keys, values, list(means), hot=hot)
     out = weighted_means(out, keys, values, wma, hot=hot)
+    if max(means) > middle:
+        for v in values:
+            out = window_delta(out, keys, v, middle, max(means))
     out = trend_slopes(out, keys, values, slope, hot=hot)
-    out = season_means(out, keys, values, 5 if 5 in means else max(means), hot=hot)
+    out = slope_deltas(out, keys, values, slope, long_slope, hot=hot)
+    out = split_relative_means(out, keys, values, middle, hot=hot)
+    out = split_relative_slopes(out, keys, values, slope, hot=hot)
+    out = season_means(out, keys, values, middle, hot=hot)
     return season_stds(out, keys, std, hot=hot) if std else out
 
 

@@ -135,6 +135,37 @@ def w7(spark, sf_dir):
     return rounded(out.select("event_id", "pts_trend_slope_last_5_before"), 4)
 
 
+def _slope_sql(v, k, n, partition="entity, season"):
+    over = _prior(n, partition)
+    return f"CASE WHEN count({v}) {over} >= 2 THEN regr_slope({v}, {k}) {over} END"
+
+
+_COUNTED = """x AS (SELECT *, count(pts) OVER (PARTITION BY entity, season ORDER BY ts, event_id) AS k,
+          count(pts) OVER (PARTITION BY entity, season, home ORDER BY ts, event_id) AS ks,
+          count(minutes) OVER (PARTITION BY entity, season ORDER BY ts, event_id) AS km,
+          count(minutes) OVER (PARTITION BY entity, season, home ORDER BY ts, event_id) AS kms FROM series)"""
+
+
+@query(
+    "w7_split",
+    f"""WITH {_COUNTED} SELECT event_id, round({_slope_sql('pts', 'ks', 5, 'entity, season, home')} - {_slope_sql('pts', 'k', 5)}, 4) AS pts_trend_slope_split_5_before FROM x""",
+    "series",
+)
+def w7_split(spark, sf_dir):
+    out = W.split_relative_slopes(_series(spark, sf_dir), KEYS, ["pts"], 5)
+    return rounded(out.select("event_id", "pts_trend_slope_split_5_before"), 4)
+
+
+@query(
+    "w7_delta",
+    f"""WITH {_COUNTED} SELECT event_id, round({_slope_sql('pts', 'k', 5)} - {_slope_sql('pts', 'k', 10)}, 4) AS pts_trend_slope_last_5_minus_last_10_before FROM x""",
+    "series",
+)
+def w7_delta(spark, sf_dir):
+    out = W.slope_deltas(_series(spark, sf_dir), KEYS, ["pts"], 5, 10)
+    return rounded(out.select("event_id", "pts_trend_slope_last_5_minus_last_10_before"), 4)
+
+
 _TEAM_OVER = "OVER (PARTITION BY {p} ORDER BY game_date, game_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
 ORDER = ("game_date", "game_id")
 
@@ -288,26 +319,30 @@ _FORM_MEANS = ", ".join(
 )
 
 
+def _family_sql(v, k, ks):
+    """The relative and difference families and the season mean of one value."""
+    short, long, split = _slope_sql(v, k, 5), _slope_sql(v, k, 10), _slope_sql(v, ks, 5, "entity, season, home")
+    return f"""round(avg({v}) {_prior(5, 'entity, home')} - avg({v}) {_prior(5)}, 6) AS {v}_last_split_5_before,
+          round(avg({v}) {_prior(5)} - avg({v}) {_prior(10)}, 6) AS {v}_last_5_minus_last_10_before,
+          round({short}, 4) AS {v}_trend_slope_last_5_before, round({long}, 4) AS {v}_trend_slope_last_10_before,
+          round({short} - {long}, 4) AS {v}_trend_slope_last_5_minus_last_10_before, round({split} - {short}, 4) AS {v}_trend_slope_split_5_before,
+          round(coalesce(avg({v}) {_prior('UNBOUNDED', _SEASON)}, prev_{v}, avg({v}) {_prior(5)}), 6) AS {v}_season_before_avg"""
+
+
 @query(
     "w8_form_columns",
-    f"""WITH {_wma_sql('entity', 5, 'w')}, {_wma_sql('entity', 5, 'wm').replace('list(pts)', 'list(minutes)')},
-        x AS (SELECT *, count(pts) OVER (PARTITION BY entity, season ORDER BY ts, event_id) AS k,
-               count(minutes) OVER (PARTITION BY entity, season ORDER BY ts, event_id) AS km FROM series)
+    f"""WITH {_wma_sql('entity', 5, 'w')}, {_wma_sql('entity', 5, 'wm').replace('list(pts)', 'list(minutes)')}, {_COUNTED},
+        prev AS (SELECT entity, season + 1 AS season, home, avg(pts) AS prev_pts, avg(minutes) AS prev_minutes FROM series GROUP BY 1, 2, 3)
         SELECT event_id, {_FORM_MEANS}, round(w.v, 6) AS pts_wma_5_before, round(wm.v, 6) AS minutes_wma_5_before,
-          round(CASE WHEN count(pts) {_prior(5, 'entity, season')} >= 2 THEN
-            regr_slope(pts, k) {_prior(5, 'entity, season')} END, 4) AS pts_trend_slope_last_5_before,
-          round(CASE WHEN count(minutes) {_prior(5, 'entity, season')} >= 2 THEN
-            regr_slope(minutes, km) {_prior(5, 'entity, season')} END, 4) AS minutes_trend_slope_last_5_before
-        FROM x s JOIN w USING (event_id) JOIN wm USING (event_id)""",
+          {_family_sql('pts', 'k', 'ks')}, {_family_sql('minutes', 'km', 'kms')}
+        FROM x JOIN w USING (event_id) JOIN wm USING (event_id) LEFT JOIN prev USING (entity, season, home)""",
     "series",
 )
 def w8(spark, sf_dir):
     values = W.form_families(["pts", "minutes"], ["PTS", "min"])
     base = standin(spark, sf_dir, "series").select("event_id", "entity", "season", "home", "ts", *values)
-    out = W.prior_means(base, KEYS, values, [1, 2, 3, 5, 10])
-    out = W.trend_slopes(W.weighted_means(out, KEYS, values, 5), KEYS, values, 5)
-    slopes = {f"{v}_trend_slope_last_5_before": F.round(f"{v}_trend_slope_last_5_before", 4) for v in values}
-    return rounded(out.drop("entity", "season", "home", "ts", *values).withColumns(slopes))
+    out = W.form_columns(base, KEYS, values).drop("entity", "season", "home", "ts", *values)
+    return rounded(out.withColumns({c: F.round(c, 4) for c in out.columns if "_trend_slope_" in c}))
 
 
 def flagship(spark, sf_dir):
