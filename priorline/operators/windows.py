@@ -347,23 +347,24 @@ def form_columns(
     slope: int = 5,
     long_slope: int = 10,
     std: Sequence[str] = (),
+    relative: bool = True,
 ) -> DataFrame:
     """All standard form columns of every value; values of one window kind share a single pass.
 
-    Besides the plain columns: the mean and slope within the split relative to all rows, and the
+    With ``relative`` also the mean and slope within the split relative to all rows, and the
     differences between the middle and the longest mean and between both slopes.
     """
     hot = look(df, keys, CHECK)
     middle = 5 if 5 in means else max(means)
     out = prior_means(df, keys, values, list(means), hot=hot)
     out = weighted_means(out, keys, values, wma, hot=hot)
-    if max(means) > middle:
-        for v in values:
-            out = window_delta(out, keys, v, middle, max(means))
     out = trend_slopes(out, keys, values, slope, hot=hot)
-    out = slope_deltas(out, keys, values, slope, long_slope, hot=hot)
-    out = split_relative_means(out, keys, values, middle, hot=hot)
-    out = split_relative_slopes(out, keys, values, slope, hot=hot)
+    if relative:
+        for v in values if max(means) > middle else []:
+            out = window_delta(out, keys, v, middle, max(means))
+        out = slope_deltas(out, keys, values, slope, long_slope, hot=hot)
+        out = split_relative_means(out, keys, values, middle, hot=hot)
+        out = split_relative_slopes(out, keys, values, slope, hot=hot)
     out = season_means(out, keys, values, middle, hot=hot)
     return season_stds(out, keys, std, hot=hot) if std else out
 
