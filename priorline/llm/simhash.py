@@ -212,19 +212,20 @@ def _close(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [_distance(F.col(a)[i], F.col(b)[i]) for i in range(LANES)]) <= CANDIDATE_BITS
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two shingle sets reach the similarity; the sizes alone rule out most that do not."""
+    small, large, both = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
+    return (small >= F.lit(similarity) * large) & (both >= F.lit(similarity) * (small + large - both))
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The candidate pairs (a, b) whose fingerprints are close and whose shingle sets are similar enough."""
     left, right = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
     close = stage(pairs.distinct().join(left, "a").join(right, "b").filter(_close("fa", "fb")).select("a", "b"), "close")
     needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     known = stage(sets.join(needed, "node", "left_semi").select("node", shingle_set(F.col("__text"), 5).alias("s")), "sets")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        close.join(known.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-        .join(known.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        .filter(both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-    )
+    left, right = known.select(F.col("node").alias("a"), F.col("s").alias("sa")), known.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    return close.join(left, "a").join(right, "b").filter(_alike("sa", "sb", similarity)).select("a", "b")
 
 
 def near_copy_pairs(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -245,12 +246,17 @@ def near_copy_pairs(prints: DataFrame, texts: DataFrame, similarity: float = 0.8
     label = components(first)
     placed = shared.filter("n > 2").join(label, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    # with their fingerprints, so that pairs too far apart are turned down inside the join
-    rest = stage(placed.join(mixed, "key").join(prints, "node"), "rest")
-    other = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("fp").alias("fb"))
-    new = (F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & (F.col("node") != F.col("least"))
-    pairs = rest.join(other, (F.col("key") == F.col("k2")) & new & _close("fp", "fb"))
-    second = _similar(pairs.select(F.col("node").alias("a"), "b"), prints, texts, similarity)
+    held = stage(placed.join(mixed, "key").join(prints, "node"), "held")
+    mates = held.select(F.col("key").alias("k2"), F.col("c").alias("cb"), F.col("fp").alias("fb"))
+    apart = (F.col("key") == F.col("k2")) & (F.col("c") != F.col("cb")) & _close("fp", "fb")
+    near = stage(held.join(mates, apart, "left_semi"), "near")
+    # with their shingle sets, so that the join itself turns down what does not link: a large group of texts
+    # that are mostly below the similarity still takes its comparisons, but makes no rows of them
+    known = texts.join(near.select("node").distinct(), "node", "left_semi").select("node", shingle_set(F.col("__text"), 5).alias("s"))
+    rest = near.join(stage(known, "known"), "node")
+    other = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
+    new = (F.col("node") < F.col("b")) & (F.col("node") != F.col("least"))
+    second = rest.join(other, apart & new & _alike("s", "sb", similarity)).select(F.col("node").alias("a"), "b").distinct()
     return first.union(second)
 
 
