@@ -134,14 +134,29 @@ def tempered(docs: DataFrame, source_col: str = "source", power: float = 0.5, mo
     return {r["s"]: r["count"] ** power for r in rows}
 
 
+def interleaved(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All rows in scheduled order, columns unchanged.
+
+    While every source lasts each holds its weight; the slots of one that has ended go to the rest, which
+    follow each other in the order of their own slots.  The order is a range sort by slot.  Rows with a
+    null id or an id that repeats in a source stand together at the place of the first of them.
+    """
+    return _in_order(docs, schedule(docs, weights, id_col, source_col, **options), id_col, source_col)
+
+
 def mix(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The rows of the stretch that holds the weights, in scheduled order, columns unchanged.
 
-    Rows beyond it are the surplus of sources that have more than their weight; they are left for another
-    mixture.  The order is a range sort by slot.  Rows with a null id or an id that repeats are kept or
-    left together with the first of them.
+    The stretch ends with the first source that runs out, so a tiny source leaves little of the others:
+    ``interleaved`` keeps every row.  Rows with a null id or an id that repeats are kept or left together
+    with the first of them.
     """
-    plan = schedule(docs, weights, id_col, source_col, **options)
+    return _in_order(docs, schedule(docs, weights, id_col, source_col, **options), id_col, source_col, F.col("__at.in_mix"))
+
+
+def _in_order(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, wanted: Column | None = None) -> DataFrame:
     first = plan.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__src")).agg(F.min(F.struct("slot", "place", "in_mix")).alias("__at"))
-    rows = docs.join(first.filter("__at.in_mix"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__src")))
+    if wanted is not None:
+        first = first.filter(wanted)
+    rows = docs.join(first, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__src")))
     return rows.repartitionByRange("__at.slot").sortWithinPartitions("__at.slot", "__at.place").select(*[F.col(c) for c in docs.columns])

@@ -218,6 +218,17 @@ def test_schedule_covers_all_rows_and_mix_holds_weights(spark):
     assert mixing.schedule(docs.limit(0), {}).count() == 0 and mixing.mix(docs.limit(0), mixing.tempered(docs.limit(0))).count() == 0
 
 
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    rows = [(i, f"t{i}", "en", "big" if i % 3 else "other", 2) for i in range(30000)] + [(30000, "one", "en", "tiny", 3), (30001, "none", "en", None, 4), (7, "t7", "en", "big", 2), (None, "n", "en", "big", 1)]
+    docs = table(spark, rows)
+    stage = dict(corpus_pipeline.STAGES)["pfair_mixing"]
+    out = [tuple(r) for r in stage(spark, docs, SF).collect()]
+    assert Counter(out) == Counter(rows)
+    slots = {(r.doc_id, r.source): r.slot for r in mixing.schedule(docs, mixing.tempered(docs)).filter("doc_id <> 7").collect()}
+    order = [slots[r[0], r[3]] for r in out if r[0] not in (None, 7)]
+    assert order == sorted(order)
+
+
 # --- tokens ----------------------------------------------------------------------------------------
 
 ODD = ["", "  a  b ", "\n\t x", "é😀漢字\u0000z", "<s>hi</s><unk>", "▁▁ a▁b", "   ", "a" * 70, " " * 40 + "x", "ﬁ ½ Å", "\r\n\r\n", "<0x41>", "a b  c", " lead", "trail ", "word " * 30000]
