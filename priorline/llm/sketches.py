@@ -2,39 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorline.llm.common import stage
 
-PARAGRAPHS = 12  # a text is cut so that about so many paragraphs, at most twice as many and a few, come out
+LONGEST = 256  # characters of a piece without an end of its own
 KEY_BITS = 40  # of a digest; sums of them fit a long for any text
 TABLES = 3
 CELLS = (8, 32, 128)  # cells per table at first and after each failure
 ROUNDS = 12
 
 
-def paragraph_length(text: Column) -> Column:
-    """Longest paragraph of the text's length class, a power of two."""
-    fair = F.length(text) / PARAGRAPHS
-    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(fair, F.lit(8.0))))).cast("int")
-
-
 def paragraphs(text: Column) -> Column:
-    """The whole text in pieces: lines up to the class's length, short ones joined, longer ones cut.
+    """The whole text in pieces that its own marks end, wherever they stand and however long the text is.
 
-    A piece ends at the first line end in the second half of its longest length, or at that length.
+    A piece ends with its line or sentence; in a run of over LONGEST characters without such an end, with the
+    first word after a short stretch that ends in a vowel, and without that at the longest length.
     """
-    classes = [8 << i for i in range(24)]
-
-    def cut(n: int) -> Column:
-        # Regular expressions are literals, so there is one per length class; above 1 << 26 characters a piece the last is used.
-        return F.regexp_extract_all(text, F.lit(rf"(?s).{{{n // 2},{n}}}?\n|.{{1,{n}}}"), F.lit(0))
-
-    length = paragraph_length(text)
-    return reduce(lambda c, n: c.when(length == n, cut(n)), classes, F.when(F.lit(False), F.array().cast("array<string>"))).otherwise(cut(classes[-1]))
+    most = LONGEST - 1
+    ends = rf".{{0,{most}}}?(?:\n|[。！？।]|[.!?…؟]\s)|.{{{LONGEST // 8},{most}}}?[aeiouаеиоуαειο]\s|.{{1,{LONGEST}}}"
+    return F.regexp_extract_all(text, F.lit(f"(?s){ends}"), F.lit(0))
 
 
 def digests(text: Column) -> Column:
@@ -43,11 +31,9 @@ def digests(text: Column) -> Column:
     return F.transform(F.coalesce(paragraphs(text), F.array().cast("array<string>")), lambda p: F.xxhash64(p).bitwiseAND(mask))
 
 
-def coarser(keys: Column) -> Column:
-    """Digests of the next length class: each of two neighbours."""
-    mask = F.lit((1 << KEY_BITS) - 1).cast("long")
-    pairs = F.sequence(F.lit(0), F.floor((F.size(keys) - 1) / 2).cast("int"))
-    return F.when(F.size(keys) > 0, F.transform(pairs, lambda i: F.xxhash64(F.get(keys, i * 2), F.get(keys, i * 2 + 1)).bitwiseAND(mask))).otherwise(keys)
+def _once(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once, not at each of its places in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _place(key: Column, table: int, cells: int) -> Column:
@@ -67,14 +53,14 @@ def sketch(keys: Column, cells: int) -> Column:
     put = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("x"), *[_place(k, t, cells).alias(f"p{t}") for t in range(TABLES)]))
     empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x"))
 
-    def cell(table: int):
+    def cell(put: Column, table: int):
         def one(j: Column) -> Column:
             mine = F.filter(put, lambda e: e[f"p{table}"] == j + table * cells)
             return F.aggregate(mine, empty, lambda a, e: F.struct((a["n"] + 1).alias("n"), (a["k"] + e["k"]).alias("k"), (a["x"] + e["x"]).alias("x")))
 
         return one
 
-    return F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell(t)) for t in range(TABLES)])
+    return _once(put, lambda held: F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell(held, t)) for t in range(TABLES)]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -125,25 +111,42 @@ def peel(difference: Column, cells: int) -> Column:
     return F.when(empty, end["found"])
 
 
-def to_text(cells: Column, level: Column) -> Column:
-    """A sketch as a string: the length class, then n, k and x of every cell in hexadecimal."""
-    return F.concat(F.hex(level.cast("long")), F.lit(":"), F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["x"])))), ","))
+def to_text(cells: Column) -> Column:
+    """A sketch as a string: n, k and x of every cell in hexadecimal."""
+    return F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["x"])))), ",")
+
+
+def _starts(s: Column) -> Column:
+    """Places in a sorted array at which a new value begins."""
+    return F.filter(F.transform(s, lambda k, i: F.when((i == 0) | (k != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+
+
+def _numbered(keys: Column) -> Column:
+    """The digests with their copies told apart, each as a hash of the digest and the copy's number."""
+
+    def runs(s: Column, starts: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda p, j: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(starts, j + 1), F.size(s)) - p), lambda o: F.xxhash64(F.get(s, p), o))))
+
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))).otherwise(_once(F.array_sort(keys), lambda s: _once(_starts(s), lambda starts: runs(s, starts))))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """How many digests differ, copies counted, from the arrays themselves."""
+    return _once(_numbered(a), lambda x: _once(_numbered(b), lambda y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))))
 
 
-def likeness(a: Column, a_level: Column, b: Column, b_level: Column) -> Column:
-    """One less the share of paragraphs that differ, 0 to 1, from two digest arrays and their length classes.
+def likeness(a: Column, b: Column) -> Column:
+    """One less the share of paragraphs that differ, 0 to 1, from two digest arrays.
 
-    Texts one class apart are compared in the larger class; further apart they are not alike.  The
-    difference of the two sketches is peeled; where that fails, both are built with four times the cells.
-    Texts without paragraphs are alike only to each other; if the largest sketch fails, the result is 0.
+    The difference of the two sketches is peeled; where that fails, both are built with four times the
+    cells.  Pairs too long for the largest sketch, or whose difference it does not give, are compared
+    by the digests themselves.  Texts without paragraphs are alike only to each other.
     """
-    left = F.when(a_level * 2 == b_level, coarser(a)).otherwise(a)
-    right = F.when(b_level * 2 == a_level, coarser(b)).otherwise(b)
-    tries = [peel(subtract(sketch(left, n), sketch(right, n)), n) for n in CELLS]
-    different = F.coalesce(*[_sum(F.transform(t, lambda d: F.abs(d["n"]))) for t in tries])
-    total = F.size(left) + F.size(right)
-    comparable = (a_level == b_level) | (a_level * 2 == b_level) | (b_level * 2 == a_level)
-    return F.when(total == 0, 1.0).when(comparable, F.coalesce(1 - different / total, F.lit(0.0))).otherwise(0.0)
+    total = F.size(a) + F.size(b)
+    # building a sketch takes cells times digests, so each size is left to the pairs it can be expected to serve
+    tries = [F.when(total <= 2 * TABLES * n, peel(subtract(sketch(a, n), sketch(b, n)), n)) for n in CELLS]
+    different = F.coalesce(*[_sum(F.transform(t, lambda d: F.abs(d["n"]))) for t in tries], differing(a, b).cast("long"))
+    return F.when(total == 0, 1.0).otherwise(1 - different / total)
 
 
 GAP = 4096  # ids per slice when the next id is looked for
@@ -174,26 +177,26 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     among them is what the document before them borrows from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(-(1 << 63)).cast("long")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("*", F.length("text").alias("n"), digests(F.col("text")).alias("d"), paragraph_length(F.col("text")).alias("l"))
+    rows = rows.select("*", F.length("text").alias("n"), digests(F.col("text")).alias("d"))
     order = following(rows.select("k").distinct())
     # what each document needs of the next: at most a quarter of its own length, for the longest of its rows
     asked = rows.groupBy("k").agg(F.max(F.floor(F.col("n") / 4)).cast("int").alias("need")).join(order, "k").select(F.col("k").alias("by"), F.col("next").alias("k"), "need")
     piece = F.substring(F.col("text"), F.lit(1), F.least("need", "n"))
     # reads the same columns as the join below, so that both share one shuffle of the texts
-    given = rows.join(asked, "k").select("by", F.struct(piece.alias("piece"), F.sha2("text", 256).alias("h"), "d", "l", "id").alias("next"))
+    given = rows.join(asked, "k").select("by", F.struct(piece.alias("piece"), F.sha2("text", 256).alias("h"), "d", "id").alias("next"))
     given = given.groupBy("by").agg(F.min("next").alias("next"))
     both = rows.join(given, F.col("k") == F.col("by"))
     quarter = F.floor(F.col("n") / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - quarter), F.substring(F.col("next.piece"), F.lit(1), quarter)))
     both = both.select(
-        "id", "n", "d", "l", F.col("next.d").alias("nd"), F.col("next.l").alias("nl"), F.sha2("edited", 256).alias("sha"), digests(F.col("edited")).alias("ed"), paragraph_length(F.col("edited")).alias("el")
+        "id", "n", "d", F.col("next.d").alias("nd"), F.sha2("edited", 256).alias("sha"), digests(F.col("edited")).alias("ed")
     )
     return both.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        to_text(sketch(F.col("d"), CELLS[0]), F.col("l")).alias("fingerprint"),
-        to_text(sketch(F.col("ed"), CELLS[0]), F.col("el")).alias("edited_fingerprint"),
-        likeness(F.col("d"), F.col("l"), F.col("ed"), F.col("el")).alias("near_edited"),
-        likeness(F.col("d"), F.col("l"), F.col("nd"), F.col("nl")).alias("near_next"),
+        to_text(sketch(F.col("d"), CELLS[0])).alias("fingerprint"),
+        to_text(sketch(F.col("ed"), CELLS[0])).alias("edited_fingerprint"),
+        likeness(F.col("d"), F.col("ed")).alias("near_edited"),
+        likeness(F.col("d"), F.col("nd")).alias("near_next"),
     )

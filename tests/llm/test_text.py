@@ -358,6 +358,18 @@ def test_edited_documents_are_nearer_than_next_ones(spark):
     assert np.mean([r.near_edited > r.near_next for r in rows]) > 0.9
 
 
+def test_likeness_does_not_depend_on_length(spark):
+    lines = [f"line {i} of {i * i} says so.\n" for i in range(2000)]
+    plain = "".join(f"{w} " for w in np.random.default_rng(5).choice(["alpha", "bravo", "lima", "tango", "delta", "kilo", "oscar", "quebec", "sierra"], 800))
+    text, long = "".join(lines)[:3072], "".join(lines)
+    swapped = "".join(lines[:1500] + [f"other {i}\n" for i in range(500)])
+    pairs = [(text, text + "x"), (text, "new line\n" + text), (plain, "front " + plain), (long, swapped), ("a.\n" * 900, "a.\n" * 600), (text, "nothing\nlike it")]
+    made = spark.createDataFrame(pairs, "a string, b string").select(sketches.digests(F.col("a")).alias("a"), sketches.digests(F.col("b")).alias("b"))
+    got = [r.x for r in made.select(sketches.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert min(got[:2]) > 0.95 and got[2] > 0.7
+    assert got[3:] == [0.75, 0.8, 0]
+
+
 def test_following_ids(spark):
     ids = sorted({int(x) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 3000)} | set(range(20000)))
     got = {r.k: r.next for r in sketches.following(spark.createDataFrame([(i,) for i in ids], "k long")).collect()}
