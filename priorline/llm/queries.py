@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import langid, lm, mixing, pieces, pii, simhash, sketches, substrings, urls, vectors
+from priorline.llm import langid, lm, mixing, pieces, pii, simhash, sketches, spelling, substrings, urls, vectors
 from priorline.llm.common import small_batches
 from priorline.session import tune
 
@@ -221,3 +221,41 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 )
 def substring_dedup(spark, sf_dir):
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+#: Remainder of zlib's CRC-32 in SQL, bit by bit: the text's bits, the lowest of each byte first, enter one at a time.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * octet_length(encode({0}))),
+    lambda i: (('0x' || substr(hex(encode({0})), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"""
+
+LETTERS = "A-Za-z\u00c0-\u00ff"
+#: Code points that DuckDB's byte-wise edit distance must see as one byte each, and what stands for them there.
+_WIDE = "".join(map(chr, range(0xC0, 0x100)))
+_NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 !#$%&()*+,-./:;<=>?@[]^_{|}~"[:64]
+
+
+@_query(
+    "op12_spelling_variants",
+    f"""
+WITH RECURSIVE run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[{LETTERS}]+')), '{spelling.UPPER}', '{spelling.LOWER}') AS r FROM documents),
+hashed AS (SELECT r, {_CRC32.format("(doc_id || ':' || r)")} AS h FROM run WHERE length(r) >= 7),
+word AS (SELECT word, count(*) AS n FROM
+    (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, translate(word, '{_WIDE}', '{_NARROW}') AS t, unnest(list_prepend(word, list_transform(range(length(word)), lambda i: substr(word, 1, i) || substr(word, i + 2)))) AS x FROM word),
+near AS (SELECT DISTINCT a.word AS a, a.n AS a_n, b.word AS b, b.n AS b_n FROM cut a JOIN cut b USING (x) WHERE a.word <> b.word AND levenshtein(a.t, b.t) = 1),
+best AS (SELECT a, a_n, count(*) AS n_near, min({{'n': -b_n, 'w': b}}) AS f FROM near GROUP BY a, a_n),
+form AS (SELECT a AS word, f.w AS form, -f.n AS form_n FROM best WHERE -f.n >= 10 * a_n),
+walk(word, stop) AS (SELECT word, form FROM form UNION ALL SELECT w.word, f.form FROM walk w JOIN form f ON f.word = w.stop),
+ends AS (SELECT word, stop FROM walk WHERE stop NOT IN (SELECT word FROM form))
+SELECT word.word, form, coalesce(stop, word.word) AS root, n::BIGINT AS n, coalesce(n_near, 0)::BIGINT AS n_near, form_n::BIGINT AS form_n
+FROM word LEFT JOIN best ON best.a = word.word LEFT JOIN form ON form.word = word.word LEFT JOIN ends ON ends.word = word.word""",
+)
+def spelling_variants(spark, sf_dir):
+    """Every word of the corpus with the frequent word it is one edit away from; typing errors are put in by hash."""
+    found = spelling.runs(_table(spark, sf_dir, "documents"), LETTERS, 7)
+    length = F.length("run")
+    h = F.crc32(F.concat_ws(":", F.col("id").cast("string"), "run"))
+    word = F.when(h % 31 == 0, spelling.without_point(F.col("run"), (h % length).cast("int"))).otherwise(F.col("run"))
+    words = found.select(word.alias("word")).filter(F.length("word") >= 7).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.variant_groups(words.filter("n >= 2"))
