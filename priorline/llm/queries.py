@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import langid, lm, mixing, pieces, pii, simhash, sketches, spelling, substrings, urls, vectors
+from priorline.llm import langid, lm, mixing, periods, pieces, pii, simhash, sketches, spelling, substrings, urls, vectors
 from priorline.llm.common import small_batches
 from priorline.session import tune
 
@@ -228,6 +228,51 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(rang
     lambda i: (('0x' || substr(hex(encode({0})), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)),
     lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295::BIGINT)"""
 
+@_query(
+    "op11_periodic_runs",
+    f"""
+WITH raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, {_CRC32.format("doc_id::VARCHAR")} AS h FROM documents),
+sized AS (SELECT *, len(ws) AS n, h // 10 AS g FROM raw),
+spun AS (SELECT doc_id, ws, n, h % 10 = 0 AND n > 0 AS spins, g % greatest(n, 1) AS a, 3 + g % 8 AS k FROM sized),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(n)) AS i FROM spun),
+place AS (SELECT doc_id, unnest(range(n)) AS i, spins, a, 1 + (n - a) // k AS p FROM spun),
+text AS (SELECT place.doc_id, place.i, w FROM place JOIN word ON word.doc_id = place.doc_id
+  AND word.i = CASE WHEN spins AND place.i >= a THEN a + (place.i - a) % p ELSE place.i END),
+whole AS (SELECT doc_id, list(w ORDER BY i) AS ws FROM text GROUP BY doc_id),
+gram AS (SELECT doc_id, s, array_to_string(ws[s + 1:s + 16], ' ') AS x, n FROM (SELECT doc_id, ws, len(ws) AS n, unnest(range(len(ws) - 15)) AS s FROM whole)),
+twin AS (SELECT a.doc_id, a.s, b.s - a.s AS q FROM gram a JOIN gram b ON a.doc_id = b.doc_id AND a.x = b.x AND b.s > a.s AND 3 * (b.s - a.s) <= a.n),
+part AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, q ORDER BY s) AS o FROM twin),
+stretch AS (SELECT doc_id, q, min(s) AS start, max(s) + 16 + q - min(s) AS length FROM part GROUP BY doc_id, q, o),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS o FROM run),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM text ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN top ON top.doc_id = d.doc_id AND o = 1 LEFT JOIN kept ON kept.doc_id = d.doc_id""",
+)
+def periodic_runs(spark, sf_dir):
+    """Runs of every whole text; a tenth of the texts is made periodic from some word on, by hash of the id."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    spun = docs.withColumn("ws", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    spun = spun.withColumn("n", F.size("ws")).withColumn("g", F.floor(F.col("h") / 10))
+    spun = spun.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    spun = spun.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("ws", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    edited = F.array_join(F.concat(F.slice("ws", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    runs = periods.periodic_runs(spun.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), edited).otherwise(F.col("text")).alias("text")))
+    # exact: a / b > c / d as a * d > c * b
+    above = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    by_exponent = lambda x, y: F.when(above(x, y) != 0, F.signum(-above(x, y))).otherwise(F.signum(F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"]))).cast("int")
+    top = F.get(F.array_sort("runs", by_exponent), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("1000 * top.length div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
 LETTERS = "A-Za-z\u00c0-\u00ff"
 #: Code points that DuckDB's byte-wise edit distance must see as one byte each, and what stands for them there.
 _WIDE = "".join(map(chr, range(0xC0, 0x100)))
