@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.llm import langid, lm, mixing, periods, pieces, pii, simhash, sketches, spelling, substrings, urls, vectors
+from priorline.llm import langid, lm, mixing, periods, pieces, pii, secrets, simhash, sketches, spelling, substrings, urls, vectors
 from priorline.llm.common import small_batches
 from priorline.session import tune
 
@@ -304,3 +304,19 @@ def spelling_variants(spark, sf_dir):
     word = F.when(h % 31 == 0, spelling.without_point(F.col("run"), (h % length).cast("int"))).otherwise(F.col("run"))
     words = found.select(word.alias("word")).filter(F.length("word") >= 7).groupBy("word").agg(F.count("*").alias("n"))
     return spelling.variant_groups(words.filter("n >= 2"))
+
+
+@_query("op13_secret_scans")
+def secret_scans(spark, sf_dir):
+    """Secrets of every whole text: how many of each fixed kind, the digest of their spans, and all spans with the lexer's."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def spans(chosen: Column) -> Column:
+        return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.BASE]
+    base = F.filter("secrets", lambda s: s["kind"] != secrets.LITERAL)
+    return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("secrets")).alias("spans"))
