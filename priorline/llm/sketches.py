@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from priorline.llm.common import stage
 
 LONGEST = 256  # characters of a piece without an end of its own
 KEY_BITS = 40  # of a digest; sums of them fit a long for any text
 TABLES = 3
-CELLS = (8, 32, 128)  # cells per table at first and after each failure
-ROUNDS = 12
+CELLS = 8  # cells per table of a fingerprint and of the first try; four times as many after each failure
 
 
 def paragraphs(text: Column) -> Column:
@@ -31,122 +35,119 @@ def digests(text: Column) -> Column:
     return F.transform(F.coalesce(paragraphs(text), F.array().cast("array<string>")), lambda p: F.xxhash64(p).bitwiseAND(mask))
 
 
-def _once(value: Column, use) -> Column:
-    """What ``use`` makes of a value that is worked out once, not at each of its places in lambdas."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _place(key: Column, table: int, cells: int) -> Column:
-    """Cell of a key in one table; cells are numbered through all tables."""
-    return (F.pmod(F.xxhash64(key, F.lit(table)), F.lit(cells)) + table * cells).cast("int")
+def _hashed(keys: np.ndarray, salt: int) -> np.ndarray:
+    h = (keys.astype(np.uint64) + np.uint64(salt + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit("check")).bitwiseAND(F.lit((1 << KEY_BITS) - 1).cast("long"))
+def _check(keys: np.ndarray) -> np.ndarray:
+    return (_hashed(keys, TABLES) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
-def sketch(keys: Column, cells: int) -> Column:
-    """Cells as structs of n (paragraphs), k (sum of digests) and x (sum of check hashes).
+class Sketches:
+    """Sketches of many digest lists at once: three tables of cells each, in three flat arrays.
 
-    Sums, unlike exclusive ors, keep a paragraph that occurs twice apart from one that does not occur.
+    A cell holds n (digests in it), k (their sum) and x (the sum of their check hashes).  Sums, unlike exclusive ors,
+    keep a digest that occurs twice apart from one that does not occur, and cells of two versions can be subtracted.
     """
-    put = F.transform(keys, lambda k: F.struct(k.alias("k"), _check(k).alias("x"), *[_place(k, t, cells).alias(f"p{t}") for t in range(TABLES)]))
-    empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x"))
-
-    def cell(put: Column, table: int):
-        def one(j: Column) -> Column:
-            mine = F.filter(put, lambda e: e[f"p{table}"] == j + table * cells)
-            return F.aggregate(mine, empty, lambda a, e: F.struct((a["n"] + 1).alias("n"), (a["k"] + e["k"]).alias("k"), (a["x"] + e["x"]).alias("x")))
-
-        return one
-
-    return _once(put, lambda held: F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell(held, t)) for t in range(TABLES)]))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    """Cell by cell; paragraphs of both sides cancel."""
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), (x["k"] - y["k"]).alias("k"), (x["x"] - y["x"]).alias("x")))
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
 
-
-def peel(difference: Column, cells: int) -> Column:
-    """The differing digests as structs of k and n (copies on the left less those on the right); null on failure.
-
-    A cell that holds copies of one digest only shows it: the sums divide by the number and the check
-    fits.  Each round takes all such digests out of their other cells, until all cells are empty or none is pure.
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray, cells: np.ndarray):
+        """List ``owner[i]`` gets digest ``keys[i]`` ``sign[i]`` times; list j has ``cells[j]`` cells a table."""
+        self.cells = cells
+        self.base = np.concatenate([[0], np.cumsum(TABLES * cells)])
+        self.n, self.k, self.x = (np.zeros(self.base[-1], np.int64) for _ in range(3))
+        self._add(keys, owner, sign)
+
+    def _places(self, keys: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+        width = self.cells[owner]
+        for table in range(TABLES):
+            yield self.base[owner] + table * width + (_hashed(keys, table) % width.astype(np.uint64)).astype(np.int64)
+
+    def _add(self, keys: np.ndarray, owner: np.ndarray, times: np.ndarray) -> None:
+        sums, checks = keys * times, _check(keys) * times
+        for at in self._places(keys, owner):
+            np.add.at(self.n, at, times)
+            np.add.at(self.k, at, sums)
+            np.add.at(self.x, at, checks)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, digest, times) of all digests that can be taken out, and which lists came out whole.
+
+        A cell that holds one digest only, however often, shows it: the sums divide by the number and check and place
+        fit.  Each round takes all such digests out of all their cells, until none is left.
+        """
+        lists = np.repeat(np.arange(len(self.cells)), TABLES * self.cells)
+        found = []
+        live = np.flatnonzero(self.n)
+        while len(live):
+            n, k = self.n[live], self.k[live]
+            fits = (k % n == 0) & (k // n >= 0)
+            at, n, key = live[fits], n[fits], (k // n)[fits]
+            own = lists[at]
+            shows = (_check(key) * n == self.x[at]) & np.logical_or.reduce([p == at for p in self._places(key, own)])
+            pure = np.unique(np.stack([own[shows], key[shows], n[shows]]), axis=1)
+            if not pure.shape[1]:
+                break
+            found.append(pure)
+            self._add(pure[1], pure[0], -pure[2])
+            live = live[self.n[live] != 0]
+        rest = (self.n != 0) | (self.k != 0) | (self.x != 0)
+        whole = np.bincount(lists[rest], minlength=len(self.cells)) == 0
+        return *(np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)), whole
+
+    def texts(self) -> list[str]:
+        """Each sketch as a string: n, k and x of every cell in hexadecimal, empty cells empty."""
+        shown = [f"{n:x}.{k:x}.{x:x}" if n else "" for n, k, x in zip(self.n.tolist(), self.k.tolist(), self.x.tolist(), strict=True)]
+        return [",".join(shown[a:b]) for a, b in zip(self.base[:-1], self.base[1:], strict=True)]
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many digests differ between a[i] and b[i], copies counted: the peeled difference of their sketches.
+
+    All pairs begin with CELLS cells a table; those that do not come out whole are built again with four times as
+    many, so the size follows the difference.  The result is exact, up to equal hashes.
     """
+    out = np.zeros(len(a), np.int64)
+    todo, cells = np.arange(len(a)), CELLS
+    while len(todo):
+        keys = np.concatenate([*(a[i] for i in todo), *(b[i] for i in todo), np.zeros(0, np.int64)])
+        left, right = [len(a[i]) for i in todo], [len(b[i]) for i in todo]
+        owner = np.repeat(np.concatenate([np.arange(len(todo))] * 2), left + right)
+        sign = np.repeat([1, -1], [sum(left), sum(right)])
+        own, _, times, whole = Sketches(keys, owner, sign, np.full(len(todo), cells)).peel()
+        out[todo[whole]] = np.bincount(own, np.abs(times), len(todo)).astype(np.int64)[whole]
+        todo, cells = todo[~whole], cells * 4
+    return out
 
-    def pure(c: Column) -> Column:
-        even = (c["n"] != 0) & (F.pmod(c["k"], F.abs(F.when(c["n"] != 0, c["n"]).otherwise(1))) == 0)
-        key = F.when(even, F.floor(c["k"] / F.when(c["n"] != 0, c["n"]).otherwise(1)).cast("long"))
-        return F.when(even & (key >= 0) & (_check(key) * c["n"] == c["x"]), F.struct(key.alias("k"), c["n"].alias("n")))
-
-    def round_(state: Column, _: Column) -> Column:
-        seen = F.array_distinct(F.filter(F.transform(state["cells"], pure), lambda p: p.isNotNull()))
-        put = F.transform(seen, lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"), _check(p["k"]).alias("x"), *[_place(p["k"], t, cells).alias(f"p{t}") for t in range(TABLES)]))
-        return F.struct(state["cells"].alias("cells"), state["found"].alias("found"), put.alias("put"), state["over"].alias("over"))
-
-    def take(state: Column) -> Column:
-        def cell(c: Column, j: Column) -> Column:
-            mine = F.filter(state["put"], lambda p: (p["p0"] == j) | (p["p1"] == j) | (p["p2"] == j))
-            return F.aggregate(
-                mine, c, lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), (a["k"] - p["k"] * p["n"]).alias("k"), (a["x"] - p["x"] * p["n"]).alias("x"))
-            )
-
-        left = F.when(F.size(state["put"]) > 0, F.transform(state["cells"], cell)).otherwise(state["cells"])
-        got = F.concat(state["found"], F.transform(state["put"], lambda p: F.struct(p["k"].alias("k"), p["n"].alias("n"))))
-        none = F.array().cast("array<struct<k:bigint,n:bigint,x:bigint,p0:int,p1:int,p2:int>>")
-        return F.struct(left.alias("cells"), got.alias("found"), none.alias("put"), (F.size(state["put"]) == 0).alias("over"))
-
-    start = F.struct(
-        difference.alias("cells"), F.array().cast("array<struct<k:bigint,n:bigint>>").alias("found"), F.array().cast("array<struct<k:bigint,n:bigint,x:bigint,p0:int,p1:int,p2:int>>").alias("put"), F.lit(False).alias("over")
-    )
-    # a round finds what is pure, the next step takes it out
-    steps = F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1))
-    end = F.aggregate(steps, start, lambda s, i: F.when(s["over"], s).when(i % 2 == 0, round_(s, i)).otherwise(take(s)))
-    empty = ~F.exists(end["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["x"] != 0))
-    return F.when(empty, end["found"])
-
-
-def to_text(cells: Column) -> Column:
-    """A sketch as a string: n, k and x of every cell in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", F.hex(c["n"]), F.hex(c["k"]), F.hex(c["x"])))), ",")
 
+def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """One less the share of digests that differ, 0 to 1; texts without digests are alike only to each other."""
+    total = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    return np.where(total == 0, 1.0, 1 - differences(a, b) / np.maximum(total, 1))
 
-def _starts(s: Column) -> Column:
-    """Places in a sorted array at which a new value begins."""
-    return F.filter(F.transform(s, lambda k, i: F.when((i == 0) | (k != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
 
+_COMPARED = StructType([StructField(n, t) for n, t in (("f", StringType()), ("ef", StringType()), ("near_edited", DoubleType()), ("near_next", DoubleType()))])
 
-def _numbered(keys: Column) -> Column:
-    """The digests with their copies told apart, each as a hash of the digest and the copy's number."""
 
-    def runs(s: Column, starts: Column) -> Column:
-        return F.flatten(F.transform(starts, lambda p, j: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(starts, j + 1), F.size(s)) - p), lambda o: F.xxhash64(F.get(s, p), o))))
+def _lists(part: pa.Array) -> list[np.ndarray]:
+    offsets, values = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+    return [values[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
 
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))).otherwise(_once(F.array_sort(keys), lambda s: _once(_starts(s), lambda starts: runs(s, starts))))
 
+def _fingerprints(lists: list[np.ndarray]) -> list[str]:
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keys = np.concatenate([*lists, np.zeros(0, np.int64)])
+    return Sketches(keys, owner, np.ones(len(keys), np.int64), np.full(len(lists), CELLS)).texts()
 
-def differing(a: Column, b: Column) -> Column:
-    """How many digests differ, copies counted, from the arrays themselves."""
-    return _once(_numbered(a), lambda x: _once(_numbered(b), lambda y: F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))))
 
-
-def likeness(a: Column, b: Column) -> Column:
-    """One less the share of paragraphs that differ, 0 to 1, from two digest arrays.
-
-    The difference of the two sketches is peeled; where that fails, both are built with four times the
-    cells.  Pairs too long for the largest sketch, or whose difference it does not give, are compared
-    by the digests themselves.  Texts without paragraphs are alike only to each other.
-    """
-    total = F.size(a) + F.size(b)
-    # building a sketch takes cells times digests, so each size is left to the pairs it can be expected to serve
-    tries = [F.when(total <= 2 * TABLES * n, peel(subtract(sketch(a, n), sketch(b, n)), n)) for n in CELLS]
-    different = F.coalesce(*[_sum(F.transform(t, lambda d: F.abs(d["n"]))) for t in tries], differing(a, b).cast("long"))
-    return F.when(total == 0, 1.0).otherwise(1 - different / total)
+@F.arrow_udf(_COMPARED)
+def _compared(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Fingerprints of a text and its edited version from their digests, and how alike it is to that and the next one."""
+    for part in parts:
+        own, edited, after = map(_lists, part)
+        columns = [_fingerprints(own), _fingerprints(edited), likeness(own, edited), likeness(own, after)]
+        yield pa.StructArray.from_arrays([pa.array(c) for c in columns], _COMPARED.names)
 
 
 GAP = 4096  # ids per slice when the next id is looked for
@@ -188,15 +189,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     both = rows.join(given, F.col("k") == F.col("by"))
     quarter = F.floor(F.col("n") / 4).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - quarter), F.substring(F.col("next.piece"), F.lit(1), quarter)))
-    both = both.select(
-        "id", "n", "d", F.col("next.d").alias("nd"), F.sha2("edited", 256).alias("sha"), digests(F.col("edited")).alias("ed")
-    )
+    both = both.select("id", "n", "d", F.col("next.d").alias("nd"), F.sha2("edited", 256).alias("sha"), digests(F.col("edited")).alias("ed"))
+    both = both.withColumn("c", _compared("d", "ed", "nd"))
     return both.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
-        to_text(sketch(F.col("d"), CELLS[0])).alias("fingerprint"),
-        to_text(sketch(F.col("ed"), CELLS[0])).alias("edited_fingerprint"),
-        likeness(F.col("d"), F.col("ed")).alias("near_edited"),
-        likeness(F.col("d"), F.col("nd")).alias("near_next"),
+        F.col("c.f").alias("fingerprint"),
+        F.col("c.ef").alias("edited_fingerprint"),
+        "c.near_edited",
+        "c.near_next",
     )

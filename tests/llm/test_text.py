@@ -322,16 +322,53 @@ def test_urls_are_judged_as_of_their_fetch(spark):
 # --- sketches --------------------------------------------------------------------------------------
 
 
-def test_peeling_recovers_differing_digests(spark):
-    left, right = list(range(100, 120)) + [7, 7], list(range(103, 122)) + [7]
-    frame = spark.createDataFrame([(left, right), ([], []), ([5], [])], "a array<long>, b array<long>")
-    for cells in sketches.CELLS:
-        found = frame.select(sketches.peel(sketches.subtract(sketches.sketch(F.col("a"), cells), sketches.sketch(F.col("b"), cells)), cells).alias("d")).collect()
-        assert {(d.k, d.n) for d in found[0].d} == {(100, 1), (101, 1), (102, 1), (120, -1), (121, -1), (7, 1)}
-        assert found[1].d == [] and [(d.k, d.n) for d in found[2].d] == [(5, 1)]
-    many = spark.createDataFrame([(list(range(1000, 1060)),)], "a array<long>").select(F.col("a"), F.array().cast("array<long>").alias("b"))
-    tries = [many.select(sketches.peel(sketches.subtract(sketches.sketch(F.col("a"), n), sketches.sketch(F.col("b"), n)), n).alias("d")).first().d for n in sketches.CELLS]
-    assert tries[0] is None and len(tries[2]) == 60  # too full at first, whole in the end
+def test_peeling_recovers_differing_digests():
+    lists = [np.array(x, np.int64) for x in (list(range(100, 120)) + [7, 7], list(range(103, 122)) + [7], [5], range(1000, 1060), [])]
+
+    def peeled(a, b, cells):
+        keys, sign = np.concatenate([a, b]), np.repeat([1, -1], [len(a), len(b)])
+        own, key, times, whole = sketches.Sketches(keys, np.zeros(len(keys), np.int64), sign, np.array([cells])).peel()
+        return set(zip(key.tolist(), times.tolist(), strict=True)) if whole[0] else None
+
+    for cells in (8, 32, 128):
+        assert peeled(lists[0], lists[1], cells) == {(100, 1), (101, 1), (102, 1), (120, -1), (121, -1), (7, 1)}
+        assert peeled(lists[4], lists[4], cells) == set() and peeled(lists[2], lists[4], cells) == {(5, 1)}
+    assert peeled(lists[3], lists[4], 8) is None and len(peeled(lists[3], lists[4], 128)) == 60  # too full at first, whole in the end
+
+
+def test_differences_against_counting():
+    rng = np.random.default_rng(4)
+    a = [rng.integers(0, most, size) for most, size in zip(rng.choice([3, 40, 2**40], 300), rng.choice([0, 1, 9, 80, 700], 300), strict=True)]
+    b = [np.concatenate([x[: len(x) // 2], rng.integers(0, 50, rng.integers(0, 60))]) for x in a]
+    counted = [sum((x - y).values()) + sum((y - x).values()) for x, y in zip(map(Counter, map(np.ndarray.tolist, a)), map(Counter, map(np.ndarray.tolist, b)), strict=True)]
+    assert sketches.differences(a, b).tolist() == counted and sketches.differences([], []).tolist() == []
+
+
+def plain_paragraphs(text):
+    """Pieces by hand: to the end of the line or sentence within 256 characters, else to a word that ends in a vowel, else 256."""
+    out = []
+    while text:
+        ends = [i + 1 for i in range(min(256, len(text))) if text[i] in "\n。！？।"] + [i + 2 for i in range(min(256, len(text) - 1)) if text[i] in ".!?…؟" and text[i + 1] in " \t\n\x0b\f\r"]
+        vowels = [i + 2 for i in range(32, min(256, len(text) - 1)) if text[i] in "aeiouаеиоуαειο" and text[i + 1] in " \t\n\x0b\f\r"]
+        size = min(ends, default=min(vowels, default=256))
+        out.append(text[:size])
+        text = text[size:]
+    return out
+
+
+def test_likeness_of_documents_against_counting(spark):
+    """near_edited and near_next of every document, worked out from counted paragraphs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op9_lookup_sketches"](spark, SF).collect()}
+    texts = [d.text or "" for d in docs]
+    for i, d in enumerate(docs):
+        after, q = texts[(i + 1) % len(texts)], len(texts[i]) // 4
+        edited = texts[i][: len(texts[i]) - q] + after[:q]
+        own = Counter(plain_paragraphs(texts[i]))
+        for other, near in ((edited, got[d.doc_id].near_edited), (after, got[d.doc_id].near_next)):
+            theirs = Counter(plain_paragraphs(other))
+            total = own.total() + theirs.total()
+            assert near == pytest.approx(1 - ((own - theirs).total() + (theirs - own).total()) / total if total else 1.0), d.doc_id
 
 
 def test_edited_texts(spark):
@@ -364,8 +401,8 @@ def test_likeness_does_not_depend_on_length(spark):
     text, long = "".join(lines)[:3072], "".join(lines)
     swapped = "".join(lines[:1500] + [f"other {i}\n" for i in range(500)])
     pairs = [(text, text + "x"), (text, "new line\n" + text), (plain, "front " + plain), (long, swapped), ("a.\n" * 900, "a.\n" * 600), (text, "nothing\nlike it")]
-    made = spark.createDataFrame(pairs, "a string, b string").select(sketches.digests(F.col("a")).alias("a"), sketches.digests(F.col("b")).alias("b"))
-    got = [r.x for r in made.select(sketches.likeness(F.col("a"), F.col("b")).alias("x")).collect()]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(sketches.digests(F.col("a")).alias("a"), sketches.digests(F.col("b")).alias("b")).collect()
+    got = sketches.likeness([np.array(r.a, np.int64) for r in rows], [np.array(r.b, np.int64) for r in rows]).tolist()
     assert min(got[:2]) > 0.95 and got[2] > 0.7
     assert got[3:] == [0.75, 0.8, 0]
 
