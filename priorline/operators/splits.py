@@ -1,15 +1,14 @@
 """Time splits: holdout, walk-forward folds, training windows.
 
-Folds are worked out on the driver from the calendar (one row per date, bounded by the number of
-days) and applied to the rows with joins.
+Folds are ranges of dates.  They are worked out from the calendar's cumulative row counts by binary search
+(one row per date and season, bounded by the number of days) and spelled out in rows only on demand.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
-from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,170 +41,181 @@ def latest_holdout(df: DataFrame, date: str, fraction: float | None = None, game
     return attach(df, roles, [date], "inner")
 
 
-@dataclass(frozen=True)
-class Fold:
-    fold: int
-    test_start: dt.date
-    test_end: dt.date
-    train_start: dt.date
-    train_seasons: tuple[int, ...] | None
-    boundary: dt.date | None
-    boundary_rows: int
-    train_rows: int
-    test_rows: int
-
-
-def _calendar(df: DataFrame, date: str, season: str) -> list[tuple[dt.date, int, int]]:
-    rows = df.groupBy(date).agg(F.count(F.lit(1)).alias("n"), F.min(season).alias("s")).orderBy(date).collect()
-    return [(r[0], r["n"], r["s"]) for r in rows]
-
-
-def _test_window(days, start: int, target: int, excluded: Sequence[int], same_season: bool) -> int | None:
-    """End position of the test window that begins at ``start``, or None."""
-    end, seen = start, 0
-    while end < len(days) and seen < target:
-        day, n, season = days[end]
-        if same_season and season != days[start][2]:
-            break
-        if day.month in excluded:
-            return None
-        seen += n
-        end += 1
-    return end if seen >= target else None
-
-
-def _advance(days, start: int, target: int) -> int:
-    end, seen = start, 0
-    while end < len(days) and seen < target:
-        seen += days[end][1]
-        end += 1
-    return end
-
-
-def choose_folds(folds: Sequence[Fold], most: int | None, strategy: str = "latest") -> list[Fold]:
-    """Keep ``most`` folds: latest, earliest or evenly spread; renumbered from 1."""
-    n = len(folds)
-    if most is None or most >= n:
-        keep = list(range(n))
-    elif strategy == "latest":
-        keep = list(range(n - most, n))
-    elif strategy == "earliest":
-        keep = list(range(most))
-    elif strategy == "even":
-        keep = sorted({round(i * (n - 1) / max(most - 1, 1)) for i in range(most)})
-    else:
-        raise ValueError(f"unknown strategy {strategy}")
-    return [Fold(**{**folds[i].__dict__, "fold": k}) for k, i in enumerate(keep, start=1)]
+class _Calendar:
+    """Dates in order with their rows, read once: one row per date and season, so its size is bounded by the days."""
+
+    def __init__(self, df: DataFrame, date: str, season: str, key: str, excluded: Sequence[int], same_season: bool):
+        if dict(df.dtypes)[date] != "date":
+            raise TypeError(f"{date} must be a date, so that the calendar stays bounded by its days")
+        counts = df.filter(F.col(date).isNotNull()).groupBy(date, season).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+        parts = counts.orderBy(date, "first").collect()
+        self.dates = sorted({p[0] for p in parts})
+        place = {d: i for i, d in enumerate(self.dates)}
+        rows = np.zeros(len(self.dates), np.int64)
+        opens: list = [None] * len(self.dates)  # the season of a date's first row
+        self.seasons: dict = {}  # in order of first appearance: dates of the season and its rows before each, one more at the end
+        for p in reversed(parts):
+            opens[place[p[0]]] = p[1]
+        for p in parts:
+            rows[place[p[0]]] += p["n"]
+            if p[1] is not None:
+                at, before = self.seasons.setdefault(p[1], ([], [0]))
+                at.append(place[p[0]])
+                before.append(before[-1] + p["n"])
+        self.before = np.concatenate([[0], np.cumsum(rows)])
+        barred = np.array([d.month in excluded for d in self.dates], bool)
+        turns = np.array([i > 0 and same_season and opens[i] != opens[i - 1] for i in range(len(opens))], bool)
+        stops = np.flatnonzero(barred | turns)
+        later = np.searchsorted(stops, np.arange(len(rows)), side="right")
+        # where a window that opens on a date has to end at the latest
+        self.limit = np.where(barred, -1, np.append(stops, len(rows))[later]) if len(rows) else np.zeros(0, np.int64)
+
+    def ahead(self, start, rows: int):
+        """The first place from which at least ``rows`` rows lie behind ``start`` (one past the last date and more if there are too few)."""
+        return np.searchsorted(self.before, self.before[start] + rows, side="left")
+
+    def windows(self, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of all test windows of whole dates with at least ``rows`` rows that cross no barrier."""
+        start = np.arange(len(self.dates))
+        end = self.ahead(start, rows)
+        fits = end <= self.limit
+        return start[fits], end[fits]
+
+    def season_rows(self, season, start: int) -> tuple[int, int, int]:
+        """Rows of a season before a place, and its first and last date there."""
+        at, before = self.seasons[season]
+        n = int(np.searchsorted(at, start))
+        return before[n], at[0], at[n - 1]
+
+
+def _walk(starts: np.ndarray, ends: np.ndarray, train, onward) -> list[tuple[int, int, list]]:
+    """Accepted windows: from each the next candidate is found by binary search among the possible starts."""
+    found, at = [], 0
+    while at < len(starts):
+        start, end = int(starts[at]), int(ends[at])
+        ranges = train(start)
+        if ranges is None:
+            at += 1
+            continue
+        found.append((start, end, ranges))
+        at = int(np.searchsorted(starts, max(start + 1, int(onward(start, end)))))
+    if not found:
+        raise ValueError("no valid folds")
+    return found
+
+
+def _ranges(df: DataFrame, days: _Calendar, date: str, season: str, folds: list[tuple[int, int, list]]) -> DataFrame:
+    rows = []
+    for fold, (start, end, train) in enumerate(folds, start=1):
+        rows += [(fold, "train", s, days.dates[a], days.dates[b], part, int(n)) for s, a, b, part, n in train]
+        rows.append((fold, "test", None, days.dates[start], days.dates[end - 1], None, int(days.before[end] - days.before[start])))
+    schema = T.StructType(
+        [
+            T.StructField("fold", T.IntegerType()),
+            T.StructField("role", T.StringType()),
+            T.StructField("season", df.schema[season].dataType),
+            T.StructField("first_date", T.DateType()),
+            T.StructField("last_date", T.DateType()),
+            T.StructField("boundary_rows", T.LongType()),
+            T.StructField("n_rows", T.LongType()),
+        ]
+    )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def season_folds(
     df: DataFrame,
     date: str,
     season: str,
+    key: str,
     train_seasons: int = 3,
     test_games: int = 30,
     step_games: int | None = None,
     min_train: int = 300,
     excluded: Sequence[int] = EXCLUDED_MONTHS,
-) -> list[Fold]:
-    """Walk forward: train on the last N seasons seen before the first test date."""
-    days = _calendar(df, date, season)
-    folds: list[Fold] = []
-    counts: dict[int, int] = {}  # rows per season before ``start``, in order of first appearance
-    firsts: dict[int, dt.date] = {}
-    start = counted = 0
-    while start < len(days):
-        for day, n, s in days[counted:start]:
-            counts[s] = counts.get(s, 0) + n
-            firsts.setdefault(s, day)
-        counted = start
-        chosen = list(counts)[-train_seasons:]
-        rows = sum(counts[s] for s in chosen)
-        end = _test_window(days, start, test_games, excluded, True) if len(counts) >= train_seasons and rows >= min_train else None
-        if end is None:
-            start += 1
-            continue
-        test = sum(n for _, n, _ in days[start:end])
-        begin = min(firsts[s] for s in chosen)
-        folds.append(Fold(len(folds) + 1, days[start][0], days[end - 1][0], begin, tuple(chosen), None, 0, rows, test))
-        start = max(start + 1, _advance(days, start, step_games or test_games))
-    if not folds:
-        raise ValueError("no valid folds")
-    return folds
+) -> DataFrame:
+    """Walk forward: train on the last N seasons seen before the first test date.
+
+    One range per fold and training season and one per test window: fold, role, season (null: any), first_date, last_date,
+    boundary_rows (null: all of the first date), n_rows.  Every row counts for its own season; a date's window
+    season is that of its first row by key.  Rows without a date take no part, null seasons train nothing.
+    """
+    days = _Calendar(df, date, season, key, excluded, True)
+    opened = [at[0] for at, _ in days.seasons.values()]
+
+    def train(start: int):
+        seen = list(days.seasons)[: int(np.searchsorted(opened, start))]
+        if len(seen) < train_seasons:
+            return None
+        chosen = [(s, *days.season_rows(s, start)) for s in seen[-train_seasons:]]
+        return [(s, a, b, None, n) for s, n, a, b in chosen] if sum(c[1] for c in chosen) >= min_train else None
+
+    return _ranges(df, days, date, season, _walk(*days.windows(test_games), train, lambda start, _: days.ahead(start, step_games or test_games)))
 
 
 def anchored_folds(
     df: DataFrame,
     date: str,
     season: str,
+    key: str,
     test_games: int = 30,
     step_games: int | None = None,
     train_games: int | None = 1000,
     min_train: int = 300,
     excluded: Sequence[int] = EXCLUDED_MONTHS,
     same_season: bool = True,
-) -> list[Fold]:
-    """Build test windows first; train on the last K rows before each."""
-    days = _calendar(df, date, season)
-    before = [0]
-    for _, n, _ in days:
-        before.append(before[-1] + n)
-    folds: list[Fold] = []
-    start = 0
-    while start < len(days):
-        end = _test_window(days, start, test_games, excluded, same_season)
-        rows = before[start] if train_games is None else min(train_games, before[start])
-        if end is None or rows < min_train:
-            start += 1
-            continue
-        # First date that is needed, and how many of its last rows.
-        first = start
-        while first > 0 and before[start] - before[first] < rows:
-            first -= 1
-        part = rows - (before[start] - before[first + 1])
-        folds.append(
-            Fold(len(folds) + 1, days[start][0], days[end - 1][0], days[first][0], None, days[first][0], part, rows, before[end] - before[start])
-        )
-        start = max(start + 1, _advance(days, end, step_games or test_games))
-    if not folds:
-        raise ValueError("no valid folds")
-    return folds
+) -> DataFrame:
+    """Build test windows first; train on the last K rows before each, all of them where K is None.
 
+    Ranges as ``season_folds`` gives them, one per fold and role; boundary_rows says how many of the last rows (by key) of
+    the first training date belong to it.
+    """
+    days = _Calendar(df, date, season, key, excluded, same_season)
 
-_FOLD_SCHEMA = T.StructType(
-    [
-        T.StructField("fold", T.IntegerType()),
-        T.StructField("test_start", T.DateType()),
-        T.StructField("test_end", T.DateType()),
-        T.StructField("train_start", T.DateType()),
-        T.StructField("train_seasons", T.ArrayType(T.IntegerType())),
-        T.StructField("boundary", T.DateType()),
-        T.StructField("boundary_rows", T.IntegerType()),
-    ]
-)
+    def train(start: int):
+        have = int(days.before[start])
+        rows = have if train_games is None else min(train_games, have)
+        if rows < min_train or not rows:
+            return None
+        first = int(np.searchsorted(days.before, have - rows, side="right")) - 1
+        return [(None, first, start - 1, int(days.before[first + 1]) - (have - rows), rows)]
 
+    # counting starts at the window's end; past the last date there is nothing left to find
+    step = step_games or test_games
+    return _ranges(df, days, date, season, _walk(*days.windows(test_games), train, lambda _, end: days.ahead(end, step)))
 
-def fold_rows(df: DataFrame, folds: Sequence[Fold], date: str, season: str, key: str) -> DataFrame:
-    """(fold, role, key, date, season): the rows of each fold.
 
-    The calendar, not the rows, is matched against the folds: each fold lists its dates, and rows
-    join on the date.  Only boundary dates of row-count windows need a rank inside the date.
+def choose_folds(ranges: DataFrame, most: int | None, strategy: str = "latest") -> DataFrame:
+    """Keep ``most`` folds: latest, earliest or evenly spread; renumbered from 1."""
+    if strategy not in ("latest", "earliest", "even"):
+        raise ValueError(f"unknown strategy {strategy}")
+    if most is None:
+        return ranges
+    n = ranges.agg(F.max("fold")).first()[0] or 0
+    if most >= n:
+        return ranges
+    first = {"latest": n - most, "earliest": 0}.get(strategy, 0)
+    keep = sorted({round(i * (n - 1) / max(most - 1, 1)) for i in range(most)}) if strategy == "even" else list(range(first, first + most))
+    number = F.array_position(F.array(*[F.lit(k + 1) for k in keep]), F.col("fold")).cast("int")
+    return ranges.filter(F.col("fold").isin([k + 1 for k in keep])).withColumn("fold", number)
+
+
+def fold_rows(df: DataFrame, ranges: DataFrame, date: str, season: str, key: str) -> DataFrame:
+    """(fold, role, key, date, season): the rows of each fold, for those who need them spelled out.
+
+    A row appears once per fold it belongs to, so this grows with folds x window; ranges do not.  The calendar is
+    matched against the ranges and rows join on the date and their own season.  Only the first date of a
+    range with boundary_rows needs a rank inside the date.
     """
-    table = df.sparkSession.createDataFrame(
-        [(f.fold, f.test_start, f.test_end, f.train_start, list(f.train_seasons) if f.train_seasons else None, f.boundary, f.boundary_rows) for f in folds],
-        _FOLD_SCHEMA,
-    )
-    calendar = df.groupBy(date).agg(F.min(season).alias("__season"))
-    spans = table.select("*", F.explode(F.sequence("train_start", "test_end")).alias(date)).join(calendar, date)
-    test = F.col(date) >= F.col("test_start")
-    in_seasons = F.col("train_seasons").isNull() | F.array_contains("train_seasons", F.col("__season"))
-    spans = spans.filter(test | in_seasons)
-    limit = F.when(~test & (F.col(date) == F.col("boundary")), F.col("boundary_rows"))
-    spans = spans.select("fold", F.when(test, "test").otherwise("train").alias("role"), date, limit.alias("__limit"))
+    calendar = df.select(F.col(date).alias("__date"), F.col(season).alias("__own")).distinct()
+    inside = F.col("__date").between(F.col("first_date"), F.col("last_date")) & (F.col("season").isNull() | (F.col("season") == F.col("__own")))
+    months = ranges.select("*", F.explode(F.sequence(F.trunc("first_date", "month"), F.col("last_date"), F.expr("INTERVAL 1 MONTH"))).alias("__month"))
+    spans = months.join(calendar.withColumn("__month", F.trunc("__date", "month")), "__month").filter(inside)
+    limit = F.when(F.col("__date") == F.col("first_date"), F.col("boundary_rows")).alias("__limit")
+    spans = spans.select("fold", "role", F.col("__date").alias(date), F.col("__own").alias(season), limit)
     ranked = with_position(df.select(key, date, season), [date], [key], "__in")
-    sizes = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = attach(ranked, sizes, [date], "inner")
-    rows = spans.join(ranked, date)
+    ranked = attach(ranked, df.groupBy(date).agg(F.count(F.lit(1)).alias("__n")), [date], "inner")
+    rows = attach(ranked, spans, [date, season], "inner")
     kept = F.col("__limit").isNull() | (F.col("__n") - F.col("__in") <= F.col("__limit"))
     return rows.filter(kept).select("fold", "role", key, date, season)
 

@@ -32,33 +32,68 @@ def e1(spark, sf_dir):
     return S.latest_holdout(_games(spark, sf_dir), "game_date", fraction=0.15).select("game_id", "role")
 
 
-def _season_folds(spark, sf_dir):
-    games = _games(spark, sf_dir).select("game_id", "game_date", "season")
-    folds = S.season_folds(games, "game_date", "season", train_seasons=3, test_games=30, min_train=300)
-    return games, folds
+# Recursive walks over the calendar: a window that starts on day i ends on day e; succ leads to the next possible start.
+_DAYS = """part AS (SELECT game_date AS d, season AS s, count(*) AS n, min(game_id) AS f FROM games GROUP BY 1, 2),
+        day AS (SELECT d, sum(n) AS n, arg_min(s, f) AS s, month(d) IN (5, 6) AS barred, row_number() OVER (ORDER BY d) - 1 AS i, sum(sum(n)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS upto FROM part GROUP BY d),
+        ends AS (SELECT a.i, a.s, a.d, a.upto - a.n AS before, min(b.i) AS e FROM day a JOIN day b ON b.upto >= a.upto - a.n + 30 GROUP BY ALL),
+        fits AS (SELECT x.* FROM ends x JOIN day c ON c.i BETWEEN x.i AND x.e GROUP BY ALL HAVING count(*) FILTER (c.barred OR c.s <> x.s) = 0)"""
+_WALK = """walk(i, fold) AS (SELECT min(i), 1 FROM cand UNION ALL SELECT succ.j, fold + 1 FROM walk JOIN succ ON succ.i = walk.i WHERE succ.j IS NOT NULL),
+        test AS (SELECT fold, 'test' AS role, NULL::INTEGER AS season, a.d AS first_date, b.d AS last_date, NULL::BIGINT AS boundary_rows, (b.upto - a.upto + a.n)::BIGINT AS n_rows
+          FROM walk JOIN fits ON fits.i = walk.i JOIN day a ON a.i = fits.i JOIN day b ON b.i = fits.e)"""
+_SEASON_WALK = f"""WITH RECURSIVE {_DAYS},
+        born AS (SELECT s, row_number() OVER (ORDER BY min(d), arg_min(f, d)) AS o, min(d) AS d0 FROM part WHERE s IS NOT NULL GROUP BY s),
+        seen AS (SELECT x.i, x.d, x.before, born.s, row_number() OVER (PARTITION BY x.i ORDER BY o DESC) AS back FROM fits x JOIN born ON born.d0 < x.d),
+        trained AS (SELECT seen.i, seen.s, min(part.d) AS first_date, max(part.d) AS last_date, sum(part.n)::BIGINT AS n_rows FROM seen JOIN part ON part.s = seen.s AND part.d < seen.d WHERE back <= 3 GROUP BY 1, 2),
+        cand AS (SELECT i FROM trained GROUP BY i HAVING count(*) = 3 AND sum(n_rows) >= 300),
+        onward AS (SELECT x.i, coalesce(min(b.i) + 1, (SELECT count(*) FROM day)) AS k FROM fits x LEFT JOIN day b ON b.upto >= x.before + 30 GROUP BY 1),
+        succ AS (SELECT onward.i, min(cand.i) AS j FROM onward JOIN cand ON cand.i >= greatest(onward.i + 1, k) GROUP BY 1),
+        {_WALK}
+        SELECT fold, 'train' AS role, s AS season, first_date, last_date, NULL::BIGINT AS boundary_rows, n_rows FROM walk JOIN trained ON trained.i = walk.i UNION ALL SELECT * FROM test"""
+_ANCHORED_WALK = f"""WITH RECURSIVE {_DAYS},
+        cand AS (SELECT i FROM fits WHERE least(1000, before) >= 300),
+        edge AS (SELECT x.i, x.before, least(1000, x.before) AS rows, min(b.i) AS first FROM fits x JOIN day b ON b.upto > x.before - least(1000, x.before) GROUP BY ALL),
+        onward AS (SELECT x.i, coalesce(min(b.i) + 1, (SELECT count(*) FROM day)) AS k FROM fits x JOIN day z ON z.i = x.e LEFT JOIN day b ON b.upto >= z.upto + 30 GROUP BY 1),
+        succ AS (SELECT onward.i, min(cand.i) AS j FROM onward JOIN cand ON cand.i >= greatest(onward.i + 1, k) GROUP BY 1),
+        {_WALK},
+        folds AS (SELECT fold, 'train' AS role, NULL::INTEGER AS season, b.d AS first_date, z.d AS last_date, (b.upto - before + rows)::BIGINT AS boundary_rows, rows::BIGINT AS n_rows
+          FROM walk JOIN edge ON edge.i = walk.i JOIN day b ON b.i = edge.first JOIN day z ON z.i = walk.i - 1 UNION ALL SELECT * FROM test)"""
+
+
+def _fold_games(spark, sf_dir):
+    return _games(spark, sf_dir).select("game_id", "game_date", "season")
 
 
 def _anchored(spark, sf_dir):
-    games = _games(spark, sf_dir).select("game_id", "game_date", "season")
-    return games, S.anchored_folds(games, "game_date", "season", test_games=30, train_games=1000)
+    return S.anchored_folds(_fold_games(spark, sf_dir), "game_date", "season", "game_id", test_games=30, train_games=1000)
 
 
-@query("e2_season_folds")
+@query("e2_season_folds", _SEASON_WALK, "games")
 def e2(spark, sf_dir):
-    games, folds = _season_folds(spark, sf_dir)
-    return S.fold_rows(games, folds, "game_date", "season", "game_id")
+    return S.season_folds(_fold_games(spark, sf_dir), "game_date", "season", "game_id", train_seasons=3, test_games=30, min_train=300)
 
 
-@query("e3_anchored_folds")
+@query("e3_anchored_folds", f"{_ANCHORED_WALK} SELECT * FROM folds", "games")
 def e3(spark, sf_dir):
-    games, folds = _anchored(spark, sf_dir)
-    return S.fold_rows(games, folds, "game_date", "season", "game_id")
+    return _anchored(spark, sf_dir)
 
 
-@query("e4_chosen_folds")
+_EVEN = "SELECT fold AS old, row_number() OVER (ORDER BY fold) AS fold FROM (SELECT DISTINCT 1 + round_even(k * (n - 1) / 2, 0)::INTEGER AS fold FROM (SELECT max(fold) AS n FROM folds), range(3) t(k))"
+
+
+@query("e4_chosen_folds", f"{_ANCHORED_WALK}, kept AS ({_EVEN}) SELECT kept.fold::INTEGER AS fold, folds.* EXCLUDE (fold) FROM folds JOIN kept ON folds.fold = kept.old", "games")
 def e4(spark, sf_dir):
-    games, folds = _anchored(spark, sf_dir)
-    return S.fold_rows(games, S.choose_folds(folds, 3, "even"), "game_date", "season", "game_id")
+    return S.choose_folds(_anchored(spark, sf_dir), 3, "even")
+
+
+@query(
+    "e4_chosen_fold_rows",
+    f"""{_ANCHORED_WALK}, kept AS ({_EVEN}), ranked AS (SELECT game_id, game_date, season, row_number() OVER (PARTITION BY game_date ORDER BY game_id DESC) AS back FROM games)
+        SELECT kept.fold::INTEGER AS fold, role, game_id, game_date, ranked.season FROM folds JOIN kept ON folds.fold = kept.old
+        JOIN ranked ON game_date BETWEEN first_date AND last_date AND (game_date > first_date OR boundary_rows IS NULL OR back <= boundary_rows)""",
+    "games",
+)
+def e4_rows(spark, sf_dir):
+    return S.fold_rows(_fold_games(spark, sf_dir), S.choose_folds(_anchored(spark, sf_dir), 3, "even"), "game_date", "season", "game_id")
 
 
 _BY_YEAR = "SELECT f.season AS fold, CASE WHEN g.season = f.season THEN 'test' ELSE 'train' END AS role, g.game_id, g.game_date FROM (SELECT DISTINCT season FROM games WHERE season > 1996) f JOIN games g ON g.season BETWEEN f.season - 2 AND f.season"

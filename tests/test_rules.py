@@ -252,33 +252,58 @@ def calendar(spark):
     return spark.createDataFrame(rows, "id int, day date, season int").cache(), rows
 
 
+def by_fold(ranges):
+    out = {}
+    for r in ranges.collect():
+        out.setdefault(r["fold"], {}).setdefault(r["role"], []).append(r)
+    return [out[f] for f in sorted(out)]
+
+
 def test_season_folds_match_brute_force(calendar):
     df, rows = calendar
     days = sorted({(d, sum(1 for r in rows if r[1] == d), s) for _, d, s in rows})
-    got = splits.season_folds(df, "day", "season", train_seasons=1, test_games=10, step_games=8, min_train=20)
-    want = brute_folds(days, 10, 8, 1, 20, (5, 6))
-    assert [(f.train_rows, f.test_rows, f.test_start, f.test_end) for f in got] == want
-    table = splits.fold_rows(df, got, "day", "season", "id")
+    ranges = splits.season_folds(df, "day", "season", "id", train_seasons=1, test_games=10, step_games=8, min_train=20)
+    got = by_fold(ranges)
+    assert [(sum(r["n_rows"] for r in f["train"]), f["test"][0]["n_rows"], f["test"][0]["first_date"], f["test"][0]["last_date"]) for f in got] == brute_folds(days, 10, 8, 1, 20, (5, 6))
+    table = splits.fold_rows(df, ranges, "day", "season", "id")
     counts = {(r["fold"], r["role"]): r["n"] for r in splits.split_summary(table, "day").collect()}
-    assert all(counts[(f.fold, "train")] == f.train_rows and counts[(f.fold, "test")] == f.test_rows for f in got)
+    assert counts == {(i, role): sum(r["n_rows"] for r in f[role]) for i, f in enumerate(got, start=1) for role in f}
     splits.require_valid(table, "day", "id")
 
 
 def test_anchored_folds_take_exactly_the_last_rows(calendar):
     df, rows = calendar
-    folds = splits.anchored_folds(df, "day", "season", test_games=10, train_games=25, min_train=20)
-    table = splits.fold_rows(df, folds, "day", "season", "id").collect()
+    ranges = splits.anchored_folds(df, "day", "season", "id", test_games=10, train_games=25, min_train=20)
+    table = splits.fold_rows(df, ranges, "day", "season", "id").collect()
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
-    for f in folds:
-        before = [r[0] for r in ordered if r[1] < f.test_start][-25:]
-        assert sorted(r["id"] for r in table if r["fold"] == f.fold and r["role"] == "train") == sorted(before)
-        test = [r[0] for r in ordered if f.test_start <= r[1] <= f.test_end]
-        assert sorted(r["id"] for r in table if r["fold"] == f.fold and r["role"] == "test") == sorted(test)
+    for i, f in enumerate(by_fold(ranges), start=1):
+        test = f["test"][0]
+        before = [r[0] for r in ordered if r[1] < test["first_date"]][-25:]
+        assert sorted(r["id"] for r in table if r["fold"] == i and r["role"] == "train") == sorted(before)
+        inside = [r[0] for r in ordered if test["first_date"] <= r[1] <= test["last_date"]]
+        assert sorted(r["id"] for r in table if r["fold"] == i and r["role"] == "test") == sorted(inside)
+
+
+def test_rows_train_in_their_own_season(spark):
+    """Two seasons on one date, a null season, a row without a date: every row counts for its own season."""
+    day = dt.date(2020, 1, 1)
+    rows = [(i, day + dt.timedelta(i // 4), 2019 if i < 21 or i == 22 else 2020) for i in range(60)]
+    rows += [(900, day, None), (901, None, 2019)]
+    df = spark.createDataFrame(rows, "id int, day date, season int")
+    ranges = splits.season_folds(df, "day", "season", "id", train_seasons=2, test_games=8, min_train=5)
+    for f in by_fold(ranges):
+        start = f["test"][0]["first_date"]
+        assert {r["season"]: r["n_rows"] for r in f["train"]} == {s: sum(1 for r in rows if r[2] == s and r[1] and r[1] < start) for s in (2019, 2020)}
+    with pytest.raises(TypeError):
+        splits.season_folds(df.withColumn("day", F.col("day").cast("timestamp")), "day", "season", "id")
+    with pytest.raises(ValueError):
+        splits.anchored_folds(df.limit(0), "day", "season", "id")
 
 
-def test_fold_choice():
-    base = [splits.Fold(i, None, None, None, None, None, 0, 0, 0) for i in range(1, 8)]
-    assert [f.fold for f in splits.choose_folds(base, 3, "latest")] == [1, 2, 3]
+def test_fold_choice(spark):
+    base = spark.createDataFrame([(i, "test", 10 * i) for i in range(1, 8)], "fold int, role string, n long")
+    kept = {s: [(r["fold"], r["n"]) for r in splits.choose_folds(base, 3, s).orderBy("fold").collect()] for s in ("latest", "earliest", "even")}
+    assert kept == {"latest": [(1, 50), (2, 60), (3, 70)], "earliest": [(1, 10), (2, 20), (3, 30)], "even": [(1, 10), (2, 40), (3, 70)]}
     with pytest.raises(ValueError):
         splits.choose_folds(base, 3, "odd")
 
