@@ -55,8 +55,11 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0])
 
 
-def simhash(text: Column, words: int = 3, lanes: int = 1) -> Column:
-    """Array of ``lanes`` 64-bit SimHash fingerprints of a whole text (null: no words, all zero)."""
+def simhash(text: Column, words: int = 3, lanes: int = 1, distinct: bool = False) -> Column:
+    """Array of ``lanes`` 64-bit SimHash fingerprints of a whole text (null: no words, all zero).
+
+    ``distinct`` counts a repeated shingle once, as a similarity of shingle sets does.
+    """
 
     @F.arrow_udf("array<bigint>")
     def prints(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -64,6 +67,7 @@ def simhash(text: Column, words: int = 3, lanes: int = 1) -> Column:
             values = []
             for piece in part.cast(pa.large_binary()):
                 h = shingle_hashes(piece.as_py(), words)
+                h = np.unique(h) if distinct else h
                 values += [_majority(_mixed(h, lane)) for lane in range(lanes)]
             yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, lanes), pa.int32()), pa.array(values, pa.int64()))
 
@@ -239,7 +243,8 @@ def near_copy_pairs(prints: DataFrame, texts: DataFrame, similarity: float = 0.8
     the first step, and no pair that shares a bucket is left out.
     """
     bits, tables = table_shape(prints.count())
-    members = prints.select("node", F.explode(_table_keys(F.col("fp"), bits, tables)).alias("key"))
+    # dealt out once: the sizes and the members read the same shuffle
+    members = prints.select("node", F.explode(_table_keys(F.col("fp"), bits, tables)).alias("key")).repartition("key")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = stage(members.join(sizes, "key"), "buckets")
     first = stage(_similar(shared.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), prints, texts, similarity), "links")
@@ -274,7 +279,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = text_keys(F.col(text_col))
     best = Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col).asc_nulls_last())
     one = docs.select("*", *key).withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-    one = stage(one.withColumn("__fp", simhash(F.col(text_col), words, LANES)), "texts")
+    one = stage(one.withColumn("__fp", simhash(F.col(text_col), words, LANES, distinct=True)), "texts")
     worded = one.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
     prints = worded.select(F.col("__k1").alias("node"), F.col("__fp").alias("fp"))
     texts = worded.select(F.col("__k1").alias("node"), F.col(text_col).alias("__text"))

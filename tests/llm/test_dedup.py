@@ -111,6 +111,15 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_that_repeat_other_lines_are_found(spark):
+    """Equal shingle sets are one text to the similarity, however often a line is repeated."""
+    texts = [" ".join(words(100 + i, 304)) for i in range(12)]
+    more = [t + (" " + " ".join(t.split()[:24])) * 10 for t in texts]
+    again = [" ".join(t.split()[:24]) + " " + t for t in more]
+    kept = simhash.drop_near_copies(frame(spark, more + again)).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(12))
+
+
 def test_near_copies_on_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
