@@ -76,26 +76,12 @@ def s8(spark, sf_dir):
     games = _games(spark, sf_dir).select(
         F.col("game_id").alias("GAME_ID"), F.col("home_pts").cast("long").alias("TO"), F.col("away_pts").cast("long").alias("PACE"), "season", F.lit("x").alias("teamName")
     )
-    # Early seasons lack a column, as older files do; one file per season.
-    for season in [r[0] for r in games.select("season").distinct().collect()]:
-        rows = games.filter(F.col("season") == season).drop("season", *([] if season >= 1999 else ["PACE"]))
-        rows.coalesce(1).write.csv(f"{root}/stage/{season}", header=True)
-    _flatten(spark, f"{root}/stage", f"{root}/team_games", lambda folder: f"team_games_{folder}_{str(int(folder) + 1)[-2:]}.csv")
-    return files.read_season_csvs(spark, f"{root}/team_games", "team_games", {"TO": "TOV"}, drop_lower_case=True)
-
-
-def _flatten(spark, source, target, name):
-    """Give the single part file of each folder its final name with the cluster's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(source).getFileSystem(conf)
-    fs.mkdirs(path(target))
-    for status in fs.listStatus(path(source)):
-        folder = status.getPath()
-        if not status.isDirectory():
-            continue
-        for part in fs.globStatus(path(folder, "part-*.csv")):
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, path(target, name(folder.getName())), False, conf)
+    # One folder of parts per season, named as the files are; early seasons lack a column, as older files do.
+    label = F.concat(F.lit("team_games_"), "season", F.lit("_"), F.lpad((F.col("season") + 1) % 100, 2, "0"), F.lit(".csv"))
+    games = games.withColumn("file", label)
+    for rows, columns in ((games.filter("season < 1999"), ["GAME_ID", "TO", "teamName"]), (games.filter("season >= 1999"), ["GAME_ID", "TO", "PACE", "teamName"])):
+        rows.select(*columns, "file").repartition("file").write.mode("append").partitionBy("file").csv(root, header=True)
+    return files.read_season_csvs(spark, root, "team_games", {"TO": "TOV"}, drop_lower_case=True)
 
 
 @query(
@@ -109,8 +95,7 @@ def s9(spark, sf_dir):
     games = _games(spark, sf_dir).withColumn("file_day", F.trunc("game_date", "month"))
     for folder, column in (("csv", "total_line"), ("csv_spread", "spread_home"), ("csv_moneyline", "home_pts")):
         rows = games if folder != "csv_moneyline" else games.filter("month(game_date) NOT IN (3, 8)")
-        rows.select("file_day", "game_id", column).repartition("file_day").write.partitionBy("file_day").csv(f"{root}/stage/{folder}", header=True)
-        _flatten(spark, f"{root}/stage/{folder}", f"{root}/{folder}", lambda d: f"{d.removeprefix('file_day=')}.csv")
+        rows.select("file_day", "game_id", column).repartition("file_day").write.partitionBy("file_day").csv(f"{root}/{folder}", header=True)
     markets = {
         "csv": "game_id bigint, total_line double",
         "csv_spread": "game_id bigint, spread_home double",
@@ -254,10 +239,9 @@ def s21(spark, sf_dir):
 )
 def s22(spark, sf_dir):
     root = work_folder(spark, "facts")
-    rows = standin(spark, sf_dir, "appearances").filter("listed").selectExpr("game_id AS GAME_ID", "concat(' ', player_id, ' ') AS PLAYER_ID", "game_date AS GAME_DATE", "season")
-    rows.unionByName(rows.filter("GAME_ID % 2 = 0")).repartition("season").write.partitionBy("season").csv(f"{root}/stage", header=True)
-    _flatten(spark, f"{root}/stage", f"{root}/facts", lambda d: f"absences_{d.removeprefix('season=')}.csv")
-    out = files.read_fact_folder(spark, f"{root}/facts", "absences", ["game_id", "player_id"], ["game_id", "player_id"], "game_date")
+    rows = standin(spark, sf_dir, "appearances").filter("listed").selectExpr("game_id AS GAME_ID", "concat(' ', player_id, ' ') AS PLAYER_ID", "game_date AS GAME_DATE", "concat('absences_', season, '.csv') AS file")
+    rows.unionByName(rows.filter("GAME_ID % 2 = 0")).repartition("file").write.partitionBy("file").csv(root, header=True)
+    out = files.read_fact_folder(spark, root, "absences", ["game_id", "player_id"], ["game_id", "player_id"], "game_date")
     return out.select("game_id", "player_id", "game_date", "season_year")
 
 

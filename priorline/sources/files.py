@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.functions.dates import season_year
@@ -14,9 +14,39 @@ from priorline.operators.joins import merge_markets
 from priorline.skew import best_rows
 
 
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths behind a glob; only names are read, one per file."""
-    return sorted(r[0] for r in spark.read.format("binaryFile").load(pattern).select("path").collect())
+#: A file's own name, or that of the folder a job wrote its parts into (``name.csv/part-...`` or ``key=name.csv/part-...``).
+_NAMED = r"([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$"
+
+
+def _file_label() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), _NAMED, 1)
+
+
+def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, header): the first line of every file behind a glob, found where the files' first blocks are read."""
+    lines = spark.read.text(pattern).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    return lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("header"))
+
+
+def read_layouts(spark: SparkSession, pattern: str, *extra: Column) -> DataFrame:
+    """All CSVs behind a glob as text columns, with ``extra`` columns of their metadata.
+
+    Headers are read in one distributed pass; files with the same header are one read, whatever their number.  What comes
+    to the driver is the file names by layout.  Columns that a layout lacks are null.
+    """
+    layouts = file_headers(spark, pattern).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    if not layouts:
+        raise FileNotFoundError(f"no file for {pattern}")
+    out = None
+    for layout in layouts:
+        columns = next(csv.reader([layout["header"].removeprefix("\ufeff")]))
+        columns = [c or f"_c{i}" for i, c in enumerate(columns)]
+        rows = spark.read.csv(layout["paths"], header=True, enforceSchema=True, schema=", ".join(f"`{c}` string" for c in columns))
+        rows = rows.select(*[F.col(f"`{c}`") for c in columns], *extra)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def read_season_csvs(
@@ -28,28 +58,13 @@ def read_season_csvs(
     drop: Sequence[str] = (),
     season: str = "SEASON_YEAR",
 ) -> DataFrame:
-    """Union of {prefix}_{year}_{yy}.csv files as text columns with the season taken from the name.
-
-    Files are grouped by header, so one read covers all files that share it.
-    """
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in list_files(spark, f"{folder}/{prefix}_*.csv"):
-        groups[tuple(spark.read.csv(path, header=True).columns)].append(path)
-    if not groups:
-        raise FileNotFoundError(f"no {prefix}_*.csv in {folder}")
-    out = None
-    for columns, paths in groups.items():
-        name = F.col("_metadata.file_name")
-        rows = spark.read.csv(paths, header=True, schema=", ".join(f"`{c}` string" for c in columns))
-        year = F.regexp_extract(name, r"_(\d{4})_[^_]*\.csv$", 1).try_cast("int")
-        rows = rows.select(*[F.col(f"`{c}`") for c in columns], year.alias(season))
-        rows = rows.withColumnsRenamed(dict(renames or {}))
-        kept = [c for c in rows.columns if not (c.startswith("_c") or c.startswith("Unnamed:") or c in drop)]
-        if drop_lower_case:
-            kept = [c for c in kept if not c[0].islower()]
-        rows = rows.select(*kept)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    """Union of {prefix}_{year}_{yy}.csv files (or folders of parts) as text columns with the season taken from the name."""
+    year = F.regexp_extract(_file_label(), r"_(\d{4})_[^_]*$", 1).try_cast("int")
+    rows = read_layouts(spark, f"{folder}/*{prefix}_*.csv", year.alias(season)).withColumnsRenamed(dict(renames or {}))
+    kept = [c for c in rows.columns if not (c.startswith("_c") or c.startswith("Unnamed:") or c in drop)]
+    if drop_lower_case:
+        kept = [c for c in kept if not c[0].islower()]
+    return rows.select(*kept)
 
 
 def read_daily_markets(spark: SparkSession, root: str, markets: Mapping[str, tuple[str, str]], keys: Sequence[str], strict: bool = True) -> DataFrame:
@@ -60,8 +75,8 @@ def read_daily_markets(spark: SparkSession, root: str, markets: Mapping[str, tup
     """
     tables = []
     for folder, schema in markets.items():
-        day = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})\.csv$", 1).try_cast("date")
-        rows = spark.read.csv(f"{root}/{folder}", header=True, schema=schema)
+        day = F.regexp_extract(_file_label(), r"(\d{4}-\d{2}-\d{2})$", 1).try_cast("date")
+        rows = spark.read.csv(f"{root}/{folder}", header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv")
         tables.append(rows.select(day.alias("file_day"), *rows.columns))
     if strict:
         days = tables[0].select("file_day").distinct()
@@ -84,8 +99,8 @@ def read_fact_folder(
     spark: SparkSession, folder: str, prefix: str, required: Sequence[str], keys: Sequence[str], date: str, rule: str = "july"
 ) -> DataFrame:
     """Folder of CSVs with upper-case headers: trimmed text, lower-case names, season from the date, one row per key."""
-    rows = spark.read.csv(f"{folder}/{prefix}_*.csv", header=True)
-    rows = rows.select(*[F.trim(F.col(c)).alias(c.lower()) for c in rows.columns])
+    rows = read_layouts(spark, f"{folder}/*{prefix}_*.csv")
+    rows = rows.select(*[F.trim(F.col(f"`{c}`")).alias(c.lower()) for c in rows.columns])
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"missing columns {missing}")
