@@ -12,6 +12,7 @@ from priorline.plans.registry import query
 from priorline.plans.standins import rounded, standin, table
 from priorline.session import work_folder
 from priorline.sources import files, landed, scans, sinks
+from priorline.sources.versions import VersionedTable
 from priorline.streaming import ingest
 
 
@@ -182,18 +183,23 @@ def s15(spark, sf_dir):
     "games",
 )
 def s16(spark, sf_dir):
-    path = work_folder(spark, "log")
     games = _games(spark, sf_dir).select("game_id", "season", "total_line")
-    sinks.append_log(games.filter("season <= 1999"), path, 1)
-    sinks.append_log(games.filter("season >= 1998").withColumn("total_line", F.col("total_line") + 1), path, 2)
-    return sinks.latest_view(spark.read.parquet(path), ["game_id"]).select("game_id", "total_line")
+    held = VersionedTable(spark, work_folder(spark, "odds"), ["game_id"])
+    held.upsert(games.filter("season <= 1999"), [F.desc("total_line")], "first")
+    second = games.filter("season >= 1998").withColumn("total_line", F.col("total_line") + 1)
+    for _ in range(2):  # the second time is a replay
+        held.upsert(second, [F.desc("total_line")], "second")
+    return held.read().select("game_id", "total_line")
 
 
 @query("s17_update_results", "SELECT game_id, CASE WHEN season = 2000 THEN home_pts + 1 ELSE home_pts END AS home_pts, away_pts FROM games", "games")
 def s17(spark, sf_dir):
     games = _games(spark, sf_dir).select("game_id", "season", "home_pts", "away_pts")
+    held = VersionedTable(spark, work_folder(spark, "results"), ["game_id"])
+    held.upsert(games, [F.asc("season")])
     updates = games.filter("season = 2000").select("game_id", (F.col("home_pts") + 1).alias("home_pts"), F.lit(None).cast("double").alias("away_pts"))
-    return sinks.update_columns(games, updates, ["game_id"], ["home_pts", "away_pts"]).drop("season")
+    held.update(updates.unionByName(updates.withColumn("game_id", -F.col("game_id") - 1)), ["home_pts", "away_pts"], [F.asc("home_pts")])
+    return held.read().drop("season")
 
 
 @query(
@@ -204,9 +210,13 @@ def s17(spark, sf_dir):
 )
 def s18(spark, sf_dir):
     rows = standin(spark, sf_dir, "appearances").select("game_id", "player_id", "minutes")
-    doomed = rows.groupBy("game_id").agg(F.sum(F.coalesce("minutes", F.lit(0.0))).alias("m")).filter("m < 60").select("game_id")
-    preview = sinks.delete_preview(rows, doomed, ["game_id"])
-    return sinks.delete_keys(rows, doomed, ["game_id"]).select("game_id", "player_id", F.lit(preview).cast("long").alias("n_deleted"))
+    held = VersionedTable(spark, work_folder(spark, "appearances"), ["game_id", "player_id"])
+    held.upsert(rows, [F.asc("minutes")])
+    low = rows.groupBy("game_id").agg(F.sum(F.coalesce("minutes", F.lit(0.0))).alias("m")).filter("m < 60")
+    doomed = rows.join(low, "game_id", "left_semi").select("game_id", "player_id")
+    preview = held.delete_preview(doomed)
+    held.delete(doomed)
+    return held.read().select("game_id", "player_id", F.lit(preview).cast("long").alias("n_deleted"))
 
 
 @query("s19_recent", "SELECT game_id, game_date FROM games ORDER BY game_date DESC, game_id DESC LIMIT 25", "games")
