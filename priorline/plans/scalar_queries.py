@@ -368,7 +368,7 @@ def x26(spark, sf_dir):
     "games",
 )
 def x27(spark, sf_dir):
-    utc = F.to_utc_timestamp(F.col("game_date").cast("timestamp"), "US/Pacific")
+    utc = D.midnight_utc(F.col("game_date"), "US/Pacific")
     return standin(spark, sf_dir, "games").select("game_id", F.date_format(utc, "yyyy-MM-dd HH:mm").alias("game_utc"), "season")
 
 

@@ -32,11 +32,12 @@ def f1(spark, sf_dir):
     "f2_complete_games",
     """SELECT game_id, team_id, season_type FROM (SELECT game_id, team_id, CASE substr(game_text, 1, 3) WHEN '001' THEN 'Preseason' WHEN '002' THEN 'Regular Season'
           WHEN '003' THEN 'All Star' WHEN '004' THEN 'Playoffs' WHEN '005' THEN 'Playoffs' WHEN '006' THEN 'In-Season Final Game' ELSE 'Unknown' END AS season_type,
-          count(*) OVER (PARTITION BY game_id) AS n FROM matchups WHERE game_id % 5 > 0 OR team_id % 2 = 0) WHERE n = 2 AND season_type NOT IN ('Preseason', 'All Star')""",
+          count(*) OVER (PARTITION BY game_id) AS n FROM (FROM matchups UNION ALL FROM matchups WHERE game_id % 5 = 0 AND team_id % 2 = 1)) WHERE n = 2 AND season_type NOT IN ('Preseason', 'All Star')""",
     "matchups",
 )
 def f2(spark, sf_dir):
-    rows = standin(spark, sf_dir, "matchups").filter("game_id % 5 > 0 OR team_id % 2 = 0")
+    rows = standin(spark, sf_dir, "matchups")
+    rows = rows.unionByName(rows.filter("game_id % 5 = 0 AND team_id % 2 = 1"))  # some teams are listed twice
     return FL.complete_games(rows, "game_id", D.season_type(F.col("game_text"))).select("game_id", "team_id", "season_type")
 
 
@@ -305,29 +306,31 @@ def j5(spark, sf_dir):
 
 @query(
     "j6_merge_odds_sources",
-    """WITH b AS (SELECT game_id, game_date, total_line_bravo, total_alpha_price_over FROM book_odds WHERE game_id % 10 < 8),
-        p AS (SELECT game_id, game_date, total_line AS total_line, CAST(cents % 101 AS DOUBLE) AS pct FROM games WHERE game_id % 10 > 1)
+    """WITH b AS (SELECT game_id, game_date, total_line_bravo, total_alpha_price_over FROM book_odds),
+        p AS (SELECT CASE WHEN cents % 5 = 0 THEN -game_id ELSE game_id END AS game_id, game_date, total_line AS total_line, CAST(cents % 101 AS DOUBLE) AS pct FROM games)
         SELECT coalesce(b.game_id, p.game_id) AS game_id, coalesce(b.game_date, p.game_date) AS game_date, coalesce(total_line_bravo, total_line) AS total_line_bravo,
           round(CASE WHEN total_alpha_price_over > 0 THEN 1 + total_alpha_price_over / 100 WHEN total_alpha_price_over < 0 THEN 1 - 100 / total_alpha_price_over END, 6) AS total_alpha_price_over, pct
         FROM b FULL JOIN p ON b.game_id = p.game_id""",
     "games book_odds",
 )
 def j6(spark, sf_dir):
-    books = standin(spark, sf_dir, "book_odds").filter("game_id % 10 < 8").select("game_id", "game_date", "total_line_bravo", "total_alpha_price_over")
-    public = standin(spark, sf_dir, "games").filter("game_id % 10 > 1").selectExpr("game_id", "game_date", "total_line", "CAST(cents % 101 AS DOUBLE) AS pct")
+    # A fifth of the public rows carry ids that no book knows, so rows of both sides stay without a partner.
+    books = standin(spark, sf_dir, "book_odds").select("game_id", "game_date", "total_line_bravo", "total_alpha_price_over")
+    public = standin(spark, sf_dir, "games").selectExpr("CASE WHEN cents % 5 = 0 THEN -game_id ELSE game_id END AS game_id", "game_date", "total_line", "CAST(cents % 101 AS DOUBLE) AS pct")
     return rounded(J.merge_odds_sources(books, public, "game_id", ["game_date"], {"total_line_bravo": "total_line"}))
 
 
 @query(
     "j7_merge_markets",
-    """SELECT game_id, game_date, a.total_line, b.spread_home, c.open_line FROM (SELECT game_id, game_date, total_line FROM games WHERE season_kind <> '1') a
-        FULL JOIN (SELECT game_id, game_date, spread_home FROM games WHERE season_kind <> '2') b USING (game_id, game_date)
-        FULL JOIN (SELECT game_id, game_date, open_line FROM games WHERE season_kind <> '4') c USING (game_id, game_date)""",
+    """SELECT game_id, game_date, a.total_line, b.spread_home, c.open_line FROM (SELECT CASE WHEN season_kind = '1' THEN -game_id ELSE game_id END AS game_id, game_date, total_line FROM games) a
+        FULL JOIN (SELECT CASE WHEN season_kind = '2' THEN -game_id ELSE game_id END AS game_id, game_date, spread_home FROM games) b USING (game_id, game_date)
+        FULL JOIN (SELECT CASE WHEN season_kind = '4' THEN -game_id ELSE game_id END AS game_id, game_date, open_line FROM games) c USING (game_id, game_date)""",
     "games",
 )
 def j7(spark, sf_dir):
     games = standin(spark, sf_dir, "games")
-    parts = [games.filter(f"season_kind <> '{k}'").select("game_id", "game_date", v) for k, v in (("1", "total_line"), ("2", "spread_home"), ("4", "open_line"))]
+    # each market knows one kind of games under other ids
+    parts = [games.select(F.expr(f"CASE WHEN season_kind = '{k}' THEN -game_id ELSE game_id END").alias("game_id"), "game_date", v) for k, v in (("1", "total_line"), ("2", "spread_home"), ("4", "open_line"))]
     return J.merge_markets(parts, ["game_id", "game_date"])
 
 
