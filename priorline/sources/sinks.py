@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from priorline.session import cut_lineage
@@ -30,19 +30,21 @@ def absent_rows(new: DataFrame, existing: DataFrame, keys: Sequence[str], orderi
 
 def insert_if_absent(
     new: DataFrame, path: str, keys: Sequence[str], ordering: Sequence[Column], partition: str | None = None
-) -> None:
-    """Append the new rows whose key is absent; running the same batch again adds nothing.
+) -> int:
+    """Append the new rows whose key is absent and say how many; running the same batch again adds nothing.
 
     Only key columns of the stored table are read, and with a partition column only the partitions
-    the batch touches.
+    the batch touches.  The number is observed while the rows are written.
     """
     spark = new.sparkSession
     stored = _existing(spark, path, new.schema)
     if partition:
         touched = [r[0] for r in new.select(partition).distinct().collect()]
         stored = stored.filter(F.col(partition).isin(touched))
-    writer = absent_rows(new, stored, keys, ordering).write.mode("append")
+    written = Observation()
+    writer = absent_rows(new, stored, keys, ordering).observe(written, F.count(F.lit(1)).alias("n")).write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+    return written.get["n"]
 
 
 def append_log(new: DataFrame, path: str, version: int) -> None:
@@ -79,16 +81,17 @@ def delete_preview(stored: DataFrame, doomed: DataFrame, keys: Sequence[str]) ->
 
 
 def build_and_load(rows: DataFrame, games: DataFrame, path: str, date: str, game: str, ordering: Sequence[Column]) -> dict[str, int]:
-    """Resolve ids, drop unresolved rows, insert what is absent, report the counts."""
+    """Resolve ids, drop unresolved rows, insert what is absent, report the counts.
+
+    All counts are taken during the two writes; the stored table is never counted.
+    """
     from priorline.operators.joins import resolve_ids
 
-    resolved = cut_lineage(resolve_ids(rows.drop(game), games, date, game))
-    counts = resolved.agg(F.count(F.lit(1)), F.count(game)).first()
-    spark = rows.sparkSession
-    known = resolved.filter(F.col(game).isNotNull())
-    before = _existing(spark, path, known.schema).count()
-    insert_if_absent(known, path, [game], ordering)
-    return {"rows": counts[0], "resolved": counts[1], "inserted": spark.read.parquet(path).count() - before}
+    seen = Observation()
+    resolved = resolve_ids(rows.drop(game), games, date, game)
+    resolved = cut_lineage(resolved.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(game).alias("resolved")))
+    inserted = insert_if_absent(resolved.filter(F.col(game).isNotNull()), path, [game], ordering)
+    return {"rows": seen.get["rows"], "resolved": seen.get["resolved"], "inserted": inserted}
 
 
 def gap_fill(
@@ -96,7 +99,8 @@ def gap_fill(
 ) -> dict[str, int]:
     """Fill missing games from landed rows: targets, missing ids, their dates, id resolution, insert.
 
-    ``names`` maps a team column of the landed rows to a (name, canonical) table.
+    ``names`` maps a team column of the landed rows to a (name, canonical) table.  Missing ids come first, so only landed rows of
+    their dates are resolved.
     """
     from priorline.operators.columns import lookup
     from priorline.operators.filters import latest_ids
@@ -105,14 +109,15 @@ def gap_fill(
 
     spark = games.sparkSession
     targets = games.select(game).distinct() if last_n is None else latest_ids(games, game, date, last_n).select(game)
-    rows = landed
+    asked, lacking = Observation(), Observation()
+    ids = games.select(game).schema
+    missing = ids_to_fetch(targets.observe(asked, F.count(F.lit(1)).alias("n")), _existing(spark, path, ids), None, game)
+    missing = cut_lineage(missing.observe(lacking, F.count(F.lit(1)).alias("n")))
+    wanted = games.join(missing, game, "left_semi")
+    rows = landed.join(wanted.select(date).distinct(), date, "left_semi").select(*landed.columns)
     for column, dim in (names or {}).items():
         rows = lookup(rows, dim, column, "name", "canonical", "__name", unknown="self").withColumn(column, F.col("__name")).drop("__name")
     resolved = resolve_ids(rows.drop(game), games, date, game).filter(F.col(game).isNotNull())
-    stored = _existing(spark, path, resolved.schema)
-    missing = cut_lineage(ids_to_fetch(targets, stored, None, game))
-    days = games.join(missing, game, "left_semi").select(date).distinct()
-    fresh = resolved.join(days, date, "left_semi").join(missing, game, "left_semi").select(*resolved.columns)
-    before = stored.count()
-    insert_if_absent(fresh, path, [game], ordering)
-    return {"targets": targets.count(), "missing": missing.count(), "inserted": spark.read.parquet(path).count() - before}
+    fresh = resolved.join(missing, game, "left_semi").select(*resolved.columns)
+    inserted = insert_if_absent(fresh, path, [game], ordering)
+    return {"targets": asked.get["n"], "missing": lacking.get["n"], "inserted": inserted}

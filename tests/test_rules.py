@@ -308,9 +308,20 @@ def test_fold_choice(spark):
         splits.choose_folds(base, 3, "odd")
 
 
+def test_load_and_gap_fill_report_what_they_wrote(spark, tmp_path):
+    games = spark.createDataFrame([(i, dt.date(2020, 1, 1 + i), f"h{i}", f"a{i}") for i in range(6)], "game_id int, game_date date, home_team string, away_team string")
+    landed = games.select("game_date", "home_team", "away_team", (F.col("game_id") * 10.0).alias("line"))
+    unknown = spark.createDataFrame([(dt.date(2020, 1, 1), "nobody", "a0", 1.0)], landed.schema)
+    path = str(tmp_path / "t")
+    args = ("game_date", "game_id", [F.col("line").asc()])
+    assert sinks.build_and_load(landed.filter("line < 20").unionByName(unknown), games, path, *args) == {"rows": 3, "resolved": 2, "inserted": 2}
+    filled = [sinks.gap_fill(games, landed, path, game="game_id", date="game_date", last_n=5, names=None, ordering=args[2]) for _ in range(2)]
+    assert filled == [{"targets": 5, "missing": 4, "inserted": 4}, {"targets": 5, "missing": 0, "inserted": 0}]
+    assert sorted(r.game_id for r in spark.read.parquet(path).collect()) == list(range(6))
+
+
 def test_insert_twice_changes_nothing(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
     path = str(tmp_path / "t")
-    for _ in range(2):
-        sinks.insert_if_absent(df, path, ["k"], [F.col("v").asc()])
+    assert [sinks.insert_if_absent(df, path, ["k"], [F.col("v").asc()]) for _ in range(2)] == [2, 0]
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "d")]
