@@ -138,49 +138,86 @@ def test_no_planted_entity_is_left_and_clean_texts_are_unchanged(spark):
 # --- scoring ---------------------------------------------------------------------------------------
 
 
-def plain_losses(texts, characters, size, order):
-    counts = Counter()
-    code = {c: i + 2 for i, c in enumerate(characters)}
+def plain_losses(texts, size, order):
+    own, seen, kinds = Counter(), Counter(), Counter()
     for t in texts:
-        s = [0] * (order - 1) + [code.get(ord(c), 1) for c in t]
-        counts.update(tuple(s[i : i + order]) for i in range(len(t)))
+        s = "\x02" * (order - 1) + t
+        for i in range(len(t)):
+            for k in range(order):
+                gram = s[i + k : i + order]
+                kinds[gram[:-1]] += gram not in own
+                own[gram] += 1
+                seen[gram[:-1]] += 1
 
     def p(gram):
         if not gram:
             return 1 / size
-        own, seen, kinds = 0, 0, set()
-        for g, n in counts.items():
-            if g[order - len(gram) : order - 1] == gram[:-1]:
-                seen, own = seen + n, own + n * (g[-1] == gram[-1])
-                kinds.add(g[-1])
-        w = len(kinds) / (seen + len(kinds)) if seen else 1
-        return (own / seen if seen else 0) * (1 - w) + w * p(gram[1:])
+        c = gram[:-1]
+        w = kinds[c] / (seen[c] + kinds[c]) if seen[c] else 1
+        return (own[gram] / seen[c] if seen[c] else 0) * (1 - w) + w * p(gram[1:])
 
     def loss(t):
-        s = [0] * (order - 1) + [code.get(ord(c), 1) for c in t]
-        return sum(-math.log2(p(tuple(s[i : i + order]))) for i in range(len(t))) / len(t)
+        s = "\x02" * (order - 1) + t
+        return sum(-math.log2(p(s[i : i + order])) for i in range(len(t))) / len(t)
 
     return loss
 
 
-def test_cross_entropy_difference_against_plain_models(spark):
-    texts = ["abab ab", "ba ab abba", "zzz ab!", "", None, "abé", "a"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
-    ids = spark.createDataFrame([(0,), (1,), (1,), (None,)], "doc_id long")
-    characters = lm.vocabulary(docs, size=7)
-    assert characters == sorted(characters) and len(characters) == 5
-    target, all_ = (plain_losses(x, characters, 7, 3) for x in (texts[:2], [t for t in texts if t]))
-    for r in lm.cross_entropy_difference(docs, ids, size=7).collect():
-        t = texts[r.doc_id]
-        if not t:
-            assert (r.n_tokens, r.loss_difference) == (0, None)
-        else:
-            assert r.n_tokens == len(t)
-            assert r.loss_target == pytest.approx(target(t), abs=1e-4) and r.loss_background == pytest.approx(all_(t), abs=1e-4)
-            assert r.loss_difference == pytest.approx(r.loss_target - r.loss_background)
+def check_scores(docs, ids, targets, order, **options):
+    scored = lm.cross_entropy_difference(docs, ids, order=order, **options).collect()
+    texts = [r.text.replace("\x02", " ").replace("\0", " ") for r in docs.collect() if r.text]
+    size = len(set("".join(texts)))
+    good = [r.text.replace("\x02", " ").replace("\0", " ") for r in docs.collect() if r.text and r.doc_id in targets]
+    target, background = plain_losses(good, size, order), plain_losses(texts, size, order)
+    for r in scored:
+        if not r.text:
+            assert (r.n_tokens, r.loss_target, r.loss_background, r.loss_difference) == (0, None, None, None)
+            continue
+        t = r.text.replace("\x02", " ").replace("\0", " ")
+        assert r.n_tokens == len(t)
+        assert r.loss_target == pytest.approx(target(t)) and r.loss_background == pytest.approx(background(t))
+        assert r.loss_difference == pytest.approx(r.loss_target - r.loss_background, abs=1e-9)
+    return scored
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_cross_entropy_difference_against_plain_models(spark, order):
+    texts = ["abab ab", "ba ab abba", "zzz ab!", "", None, "abé", "a", "a\x02b\0", "\U0001f600 ab", "abab ab"]
+    rows = [*enumerate(texts), (None, "no id"), (None, "no id"), (3, "ab again"), (3, "ab again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash")).withColumn("__block", F.lit("kept"))
+    docs = docs.withColumn("gram", F.lit(7)).withColumn("__target", F.lit(1.5))
+    ids = spark.createDataFrame([(0,), (1,), (1,), (9,), (None,)], "doc_id long")
+    scored = check_scores(docs, ids, {0, 1, 9}, order, block_rows=2, chunk=3)
+    assert len(scored) == len(rows) and {(r["__block"], r.gram, r["__target"]) for r in scored} == {("kept", 7, 1.5)}
     assert lm.cross_entropy_difference(docs.limit(0), ids).count() == 0
 
 
+def test_scores_of_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id")
+    assert len(check_scores(docs, good, {r.doc_id for r in good.collect()}, 4)) == docs.count()
+
+
+def test_every_script_is_learned(spark):
+    latin = [(i, "the same words in every text") for i in range(300)]
+    other = [(1000 + i, "много разных слов" if i % 2 else "другие буквы здесь") for i in range(10)]
+    docs = spark.createDataFrame(latin + other, "doc_id long, text string")
+    ids = spark.createDataFrame([(1001,)], "doc_id long")
+    found = {r.text: r.loss_difference for r in lm.cross_entropy_difference(docs, ids).collect()}
+    assert found["много разных слов"] < found["другие буквы здесь"] < found["the same words in every text"]
+
+
+def test_scores_of_long_texts_and_of_many_characters(spark):
+    every = "".join(chr(c) for c in range(0x100, 0xD800)) + "".join(chr(c) for c in range(0x10000, 0x11000))
+    docs = spark.createDataFrame([(1, "ab" * 100_000 + "c"), (2, every), (3, "ab")], "doc_id long, text string")
+    check_scores(docs, spark.createDataFrame([(1,)], "doc_id long"), {1}, 4, chunk=65_536)
+
+
+def test_targets_missing_or_unmatched(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, "ba")], "doc_id long, text string")
+    check_scores(docs, spark.createDataFrame([(7,)], "doc_id long"), set(), 3)
+
+
 # --- mixing ----------------------------------------------------------------------------------------
 
 
