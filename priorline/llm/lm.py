@@ -159,7 +159,7 @@ def cross_entropy_difference(
     characters.  The background model is counted on all documents, the target model on those whose id is in
     ``target_ids`` (its first column; nulls and repeats there do not matter).  Both share one vocabulary, every
     code point of the corpus, and their order and smoothing.  Their n-grams are tables that grow with the
-    corpus: documents are dealt into blocks of up to ``block_rows``, a block's distinct n-grams are joined to
+    corpus: documents are dealt into blocks of up to twice ``block_rows``, a block's distinct n-grams are joined to
     the tables, and the block's texts are scored with what comes back, so a task holds one block and its n-grams.
 
     Null and empty texts have no tokens and null losses; U+0000 and U+0002 count as spaces.  Null ids are never
@@ -176,11 +176,13 @@ def cross_entropy_difference(
         carried.append(docs[text_col].cast("string").alias(text))
     # one plan at every size: a few labels would be broadcast, many not, and the texts' shuffle come as a surprise
     flagged = docs.join(wanted.hint("merge"), docs[id_col] == wanted[target], "left").select(*carried, wanted[target].isNotNull().alias(target))
-    # the numbers of neighbouring rows of a written partition, fixed once they are stored
-    rows = stage(flagged.withColumn(block, F.floor(F.monotonically_increasing_id() / block_rows)), "lm_rows")
+    # many thin partitions would each spell out their n-grams: written ones hold about a block of rows, more than two are cut
+    flagged = flagged.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // block_rows)))
+    # numbers of neighbouring rows of a written partition, fixed once they are stored
+    rows = stage(flagged.withColumn(block, F.floor(F.monotonically_increasing_id() / (2 * block_rows))), "lm_rows")
     grams = stage(block_grams(rows, block, text, target, order, chunk), "lm_grams")
     table = losses(grams.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), order)
-    answers = grams.select(F.col("block").alias(block), "gram").distinct().join(table, "gram")
+    answers = grams.select(F.col("block").alias(block), "gram").join(table, "gram")
     schema = T.StructType([*kept.schema, T.StructField(SCORES[0], T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SCORES[1:]]])
     at = rows.columns.index(text)
     width = len(kept.columns)
