@@ -212,6 +212,21 @@ def model_catalogue(df: DataFrame, kind: str, source: str, name: str, stamp: str
     return latest.select("model_key", "label", marked).orderBy("marked_last", "label")
 
 
+def _known_predictions(log: DataFrame, stamp: str, total: str, error: str, line: str, kind: str, tag: str | None, tag_value: str | None, cutoff) -> DataFrame:
+    """Rows of a tag up to a cutoff, total and error each worked out from the other; total-points rows are marked __prefer."""
+    rows = log if tag is None else log.filter(F.trim(tag) == tag_value)
+    if cutoff is not None:
+        rows = rows.filter(F.col(stamp) <= F.lit(cutoff))
+    rows = rows.withColumns(
+        {
+            total: F.coalesce(F.col(total), F.col(line) + F.col(error)),
+            error: F.coalesce(F.col(error), F.col(total) - F.col(line)),
+            "__prefer": (F.upper(kind) == "TOTAL_POINTS").cast("int"),
+        }
+    )
+    return rows
+
+
 def game_level(
     log: DataFrame,
     *,
@@ -233,16 +248,7 @@ def game_level(
 
     A model in the kept rows that ``models`` does not name is an error, so none is left out unseen.
     """
-    rows = log if tag is None else log.filter(F.trim(tag) == tag_value)
-    if cutoff is not None:
-        rows = rows.filter(F.col(stamp) <= F.lit(cutoff))
-    rows = rows.withColumns(
-        {
-            total: F.coalesce(F.col(total), F.col(line) + F.col(error)),
-            error: F.coalesce(F.col(error), F.col(total) - F.col(line)),
-            "__prefer": (F.upper(kind) == "TOTAL_POINTS").cast("int"),
-        }
-    )
+    rows = _known_predictions(log, stamp, total, error, line, kind, tag, tag_value, cutoff)
     unknown = F.raise_error(F.concat(F.lit("model without a column: "), F.coalesce(F.col(model).cast("string"), F.lit("null"))))
     rows = rows.withColumn(model, F.when(F.col(model).isin(list(models)), F.col(model)).otherwise(unknown))
     latest = best_rows(rows, [game, model], [F.desc(stamp), F.desc("__prefer"), *[F.desc(t) for t in ties]])
@@ -250,6 +256,64 @@ def game_level(
     return wide.withColumnsRenamed({f"{m}_{c}": f"{c}_{m}" for m in models for c in ("total", "pick")})
 
 
+def game_level_open(
+    log: DataFrame,
+    *,
+    game: str,
+    model: str,
+    stamp: str,
+    total: str,
+    error: str,
+    line: str,
+    pick: str,
+    kind: str,
+    base: Sequence[str],
+    ties: Sequence[str],
+    tag: str | None = None,
+    tag_value: str | None = None,
+    cutoff=None,
+) -> DataFrame:
+    """One row per game: ``base`` columns and stamp (latest_stamp) of its latest prediction, and ``models``.
+
+    ``models`` maps every model found in the kept rows, listed anywhere or not, to its latest prediction
+    (total, error, pick, stamp; a total-points row wins equal stamps).  Rows without a model are left out,
+    as are games that have no others.  Null stamps are older than any other.  A map has one entry per
+    model of the game, whatever the number of predictions.
+    """
+    rows = _known_predictions(log, stamp, total, error, line, kind, tag, tag_value, cutoff).filter(F.col(model).isNotNull())
+    latest = best_rows(rows, [game, model], [F.desc(stamp), F.desc("__prefer"), *[F.desc(t) for t in ties]])
+    made = F.struct(F.col(total).alias("total"), F.col(error).alias("error"), normal_pick(F.col(pick)).alias("pick"), F.col(stamp).alias("stamp"))
+    # the latest row of a game is the latest of one of its models
+    newest = F.struct(stamp, "__prefer", *ties, model)
+    kept = F.max_by(F.struct(F.col(stamp).alias("latest_stamp"), *base), newest).alias("__base")
+    models = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(model), made)))).alias("models")
+    return latest.groupBy(game).agg(kept, models).select(game, "__base.*", "models")
+
+
+def score_open(df: DataFrame, line: str, actual: str, models: str = "models") -> DataFrame:
+    """Each model of the map gains line_diff, miss (total less actual), pick (its own, else the side of line_diff) and correct."""
+    side = pick_of(F.col(actual) - F.col(line))
+
+    def scored(_: Column, m: Column) -> Column:
+        diff = m["total"] - F.col(line)
+        chosen = F.coalesce(m["pick"], pick_of(diff))
+        return F.struct(
+            *[m[c].alias(c) for c in ("total", "error", "stamp")],
+            diff.alias("line_diff"),
+            (m["total"] - F.col(actual)).alias("miss"),
+            chosen.alias("pick"),
+            correct_pick(chosen, side).alias("correct"),
+        )
+
+    return df.withColumn(models, F.transform_values(models, scored))
+
+
+def model_rows(df: DataFrame, models: str = "models") -> DataFrame:
+    """One row per game and model: the other columns, ``model`` and the fields of its entry."""
+    others = [c for c in df.columns if c != models]
+    return df.select(*others, F.explode(models).alias("model", "__m")).select(*others, "model", "__m.*")
+
+
 def score_models(df: DataFrame, models: Sequence[str], line: str, actual: str, resolved_pick: bool = True) -> DataFrame:
     """line_diff, pick, error and correctness per model from total_<model> and pick_<model>."""
     out = df.withColumn("actual_pick", pick_of(F.col(actual) - F.col(line)))

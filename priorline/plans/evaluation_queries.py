@@ -386,6 +386,33 @@ def e19_tagged(spark, sf_dir):
     return _wide(spark, sf_dir, "N")
 
 
+@query(
+    "e19_open_models",
+    """WITH p AS (SELECT *, model || '_' || lower(trim(tag)) AS m, CASE WHEN prediction_type = 'TOTAL_POINTS' THEN predicted_total ELSE line + (predicted_total - line) END AS tot,
+             predicted_total - line AS err, (prediction_type = 'TOTAL_POINTS')::INT AS prefer
+           FROM scored WHERE predicted_on <= DATE '2000-12-31' AND model IS NOT NULL AND tag IS NOT NULL),
+      one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY game_id, m ORDER BY predicted_on DESC, prefer DESC, line_no DESC, part_id DESC, run_id DESC, cents DESC) = 1),
+      base AS (SELECT game_id, game_date AS base_date, line AS base_line, actual AS base_actual, predicted_on AS latest_stamp FROM p
+               QUALIFY row_number() OVER (PARTITION BY game_id ORDER BY predicted_on DESC, prefer DESC, line_no DESC, part_id DESC, run_id DESC, cents DESC, m DESC) = 1),
+      s AS (SELECT *, tot - base_line AS d, CASE WHEN base_actual > base_line THEN 'OVER' WHEN base_actual < base_line THEN 'UNDER' WHEN base_actual = base_line THEN 'PUSH' END AS side,
+             coalesce(upper(side_pick), CASE WHEN tot > base_line THEN 'OVER' WHEN tot < base_line THEN 'UNDER' WHEN tot = base_line THEN 'PUSH' END) AS chosen
+            FROM one JOIN base USING (game_id))
+    SELECT game_id, latest_stamp, base_date AS game_date, base_line, base_actual, m AS model, round(tot, 8) AS total, round(err, 8) AS error, predicted_on AS stamp, round(d, 8) AS line_diff,
+      round(tot - base_actual, 8) AS miss, chosen AS pick, coalesce(chosen = side AND side IN ('OVER', 'UNDER'), false) AS correct FROM s""",
+    "scored",
+)
+def e19_open(spark, sf_dir):
+    log = _scored(spark, sf_dir).withColumn("m", F.concat("model", F.lit("_"), F.lower(F.trim("tag"))))
+    direct = F.col("prediction_type") == "TOTAL_POINTS"
+    log = log.withColumns({"tot": F.when(direct, F.col("predicted_total")), "err": F.when(~direct, F.col("predicted_total") - F.col("line"))})
+    log = log.withColumns({"base_line": F.col("line"), "base_actual": F.col("actual")})
+    out = E.game_level_open(
+        log, game="game_id", model="m", stamp="predicted_on", total="tot", error="err", line="line", pick="side_pick", kind="prediction_type",
+        base=["game_date", "base_line", "base_actual"], ties=TIES, cutoff="2000-12-31",
+    )
+    return rounded(E.model_rows(E.score_open(out, "base_line", "base_actual")), 8)
+
+
 def _consensus(spark, sf_dir):
     results = _games(spark, sf_dir).selectExpr("game_id", "game_date", "total_line AS line", "home_pts + away_pts AS actual")
     scored = E.score_models(_wide(spark, sf_dir).join(results, "game_id"), MODELS, "line", "actual")
