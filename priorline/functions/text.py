@@ -76,10 +76,11 @@ REPORT_PATTERNS = {
     "game_date": r"^\d{2}/\d{2}/\d{4}$",
     "game_time": r"^\d{2}:\d{2} \(ET\)$",
     "matchup": r"^[A-Z]{3}@[A-Z]{3}$",
-    "team": r"^[A-Z][a-zA-Z]*(?:\s[A-Z][a-zA-Z]*)+$|^Philadelphia 76ers$",
+    "team": r"^[A-Z][a-zA-Z]*(?:\s[A-Z][a-zA-Z]*)+$",
     "player": r"^[A-Z][a-zA-Z'.\- ]+, [A-Z][a-zA-Z'.\-]+",
     "status": r"^[A-Z][a-zA-Z]*$",
 }
+SPECIAL_TEAM = "Philadelphia 76ers"  # fixed value: the team whose name holds digits, so the team pattern misses it
 REPORT_STATUSES = ("Out", "Questionable", "Probable", "Doubtful", "Available")  # fixed values
 NOT_SUBMITTED = "NOT YET SUBMITTED"  # fixed value
 
@@ -89,6 +90,8 @@ def token_kind(token: Column, after_player: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(REPORT_PATTERNS.items()):
         match = token.rlike(pattern)
+        if kind == "team":
+            match = match | (token == SPECIAL_TEAM)
         allowed = match if kind == "status" else match & ~after_player
         out = F.when(allowed, kind).otherwise(out)
     return F.when(token == NOT_SUBMITTED, "reason").otherwise(out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from priorline.functions import rowstats as R
 from priorline.functions.odds import mixed_to_decimal, pick_of
 from priorline.functions.text import first_known, normal_pick, slug
-from priorline.skew import attach, best_rows, with_group_stats, with_position
+from priorline.skew import attach, best_rows, with_position
 
 SCORER_EDGES = tuple(range(11))  # fixed values: strict thresholds of the scorers
 REPORT_EDGES = (0.0, 0.5, 1.0, 1.5, 2.0)  # fixed values: inclusive thresholds of the app
@@ -507,7 +507,3 @@ def confidence_quantiles(df: DataFrame, actual: str, predicted: str, key: str, s
         )
     wide = placed.agg(*aggs)
     return wide.select(F.explode(F.array(*[F.col(f"__q{i}") for i in range(len(shares))])).alias("q")).select("q.*")
-
-
-def with_game_count(df: DataFrame, keys: Sequence[str], name: str = "n_games") -> DataFrame:
-    return with_group_stats(df, keys, [F.count(F.lit(1)).alias(name)])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorline.operators.windows import SeriesKeys, prior
-from priorline.skew import attach, best_rows, bounded_frames, same_keys
+from priorline.skew import attach, best_rows, bounded_frames
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -110,12 +110,3 @@ def schedule_players(schedule: DataFrame, players: DataFrame, *, game, team, pla
     return rows.select(
         game, date, season, team, player, *keep, *[F.lit(None).cast(types[c]).alias(c) for c in blank if c not in keep]
     )
-
-
-def unique_by(df: DataFrame, keys: Sequence[str], ordering: Sequence[Column]) -> DataFrame:
-    """Keep the first row per key under an explicit order."""
-    return best_rows(df, keys, ordering)
-
-
-def keep_members(df: DataFrame, members: DataFrame, keys: Sequence[str], how: str = "left_semi") -> DataFrame:
-    return df.join(members, same_keys(df, members, keys), how)
