@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from priorline.functions.dates import season_year
 from priorline.operators.columns import ensure
 from priorline.operators.joins import merge_markets
+from priorline.session import cut_lineage, work_folder
 from priorline.skew import best_rows
 
 
-#: A file's own name, or that of the folder a job wrote its parts into (``name.csv/part-...`` or ``key=name.csv/part-...``).
-_NAMED = r"([^/=]+?)(?:\.csv)?(?:/part-[^/]*)?$"
-
-
 def _file_label() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), _NAMED, 1)
+    """A file's own name, or that of the folder a job wrote its parts into (``name.csv/part-...`` or ``key=name.csv/part-...``).
+
+    Cut out at the separators: it is worked out for every row, and a pattern would be tried at every place of a long path.
+    """
+    path = F.col("_metadata.file_path")
+    own, folder = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    value = F.substring_index(folder, "=", -1)
+    name = F.when(own.startswith("part-") & (value != ""), value).otherwise(F.substring_index(own, "=", -1))
+    return F.when(name.endswith(".csv") & (F.length(name) > 4), F.substring(name, F.lit(1), F.length(name) - 4)).otherwise(name)
 
 
 def file_headers(spark: SparkSession, pattern: str) -> DataFrame:
@@ -77,15 +82,24 @@ def read_daily_markets(spark: SparkSession, root: str, markets: Mapping[str, tup
     for folder, schema in markets.items():
         day = F.regexp_extract(_file_label(), r"(\d{4}-\d{2}-\d{2})$", 1).try_cast("date")
         rows = spark.read.csv(f"{root}/{folder}", header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv")
-        tables.append(rows.select(day.alias("file_day"), *rows.columns))
+        # Read as text once: the look at the days, the check of the keys and the join all take the typed rows from here.
+        tables.append(_typed_once(rows.select(day.alias("file_day"), *rows.columns), f"{folder}-typed"))
     if strict:
         days = tables[0].select("file_day").distinct()
         for t in tables[1:]:
             days = days.join(t.select("file_day").distinct(), "file_day", "left_semi")
+        days = cut_lineage(days)
         tables = [t.join(days, "file_day", "left_semi") for t in tables]
     return merge_markets(tables, ["file_day", *keys])
 
 
+def _typed_once(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet on the job's shared storage."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_csv_tree(spark: SparkSession, root: str, schema: str, required: Sequence[str], dropped_words: Mapping[str, str] | None = None) -> DataFrame:
     """All CSVs below a folder without repeats, without rows lacking a required value or naming a dropped word."""
     rows = spark.read.csv(root, header=True, schema=schema, recursiveFileLookup=True, pathGlobFilter="*.csv").distinct()
