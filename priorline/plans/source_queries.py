@@ -81,7 +81,7 @@ def s8(spark, sf_dir):
     label = F.concat(F.lit("team_games_"), "season", F.lit("_"), F.lpad((F.col("season") + 1) % 100, 2, "0"), F.lit(".csv"))
     games = games.withColumn("file", label)
     for rows, columns in ((games.filter("season < 1999"), ["GAME_ID", "TO", "teamName"]), (games.filter("season >= 1999"), ["GAME_ID", "TO", "PACE", "teamName"])):
-        rows.select(*columns, "file").repartition("file").write.mode("append").partitionBy("file").csv(root, header=True)
+        rows.select(*columns, "file").write.mode("append").partitionBy("file").csv(root, header=True)  # a season's parts come from every task
     return files.read_season_csvs(spark, root, "team_games", {"TO": "TOV"}, drop_lower_case=True)
 
 
