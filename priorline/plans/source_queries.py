@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from priorline.functions import dates as D
 from priorline.plans.registry import query
 from priorline.plans.standins import rounded, standin, table
-from priorline.session import work_folder
+from priorline.session import cut_lineage, work_folder
 from priorline.sources import files, landed, scans, sinks
 from priorline.sources.versions import VersionedTable
 from priorline.streaming import ingest
@@ -212,8 +212,9 @@ def s18(spark, sf_dir):
     rows = standin(spark, sf_dir, "appearances").select("game_id", "player_id", "minutes")
     held = VersionedTable(spark, work_folder(spark, "appearances"), ["game_id", "player_id"])
     held.upsert(rows, [F.asc("minutes")])
-    low = rows.groupBy("game_id").agg(F.sum(F.coalesce("minutes", F.lit(0.0))).alias("m")).filter("m < 60")
-    doomed = rows.join(low, "game_id", "left_semi").select("game_id", "player_id")
+    stored = held.read()  # the appearances, which need not be worked out again
+    low = stored.groupBy("game_id").agg(F.sum(F.coalesce("minutes", F.lit(0.0))).alias("m")).filter("m < 60")
+    doomed = cut_lineage(stored.join(low, "game_id", "left_semi").select("game_id", "player_id"))
     preview = held.delete_preview(doomed)
     held.delete(doomed)
     return held.read().select("game_id", "player_id", F.lit(preview).cast("long").alias("n_deleted"))

@@ -83,7 +83,9 @@ class VersionedTable:
         version, buckets = before["version"] + 1, before["buckets"]
         folder = f"data/{version:010d}-{uuid.uuid4().hex}"
         rows.withColumn("__bucket", self._bucket(buckets)).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
-        written = {r[0] for r in self.spark.read.parquet(f"{self.path}/{folder}").select("__bucket").distinct().collect()} if not rows.isEmpty() else set()
+        # With the schema given, no row at all (and so no file) is as good as any; the rows are worked out by the write alone.
+        found = self.spark.read.schema("__bucket int").parquet(f"{self.path}/{folder}")
+        written = {r[0] for r in found.select("__bucket").distinct().collect()}
         folders = {b: f for b, f in before["folders"].items() if int(b) not in touched}
         folders |= {str(b): f"{folder}/__bucket={b}" for b in written}
         batches = [*before["batches"], *([batch] if batch else [])]
@@ -95,13 +97,20 @@ class VersionedTable:
         before = self.manifest()
         if batch is not None and batch in before["batches"]:
             return before["version"]  # a replay
-        touched = {r[0] for r in changes.select(self._bucket(before["buckets"]).alias("b")).distinct().collect()}
+        touched = self._touched(changes, before)
         stored = self._read(before, touched)
         return self._write(apply(stored), before, touched, batch)
 
+    def _touched(self, changes: DataFrame, manifest: dict) -> set[int]:
+        """Buckets with stored rows that the changes may meet; of a table without rows there is none to look for."""
+        if not manifest["folders"]:
+            return set()
+        return {r[0] for r in changes.select(self._bucket(manifest["buckets"]).alias("b")).distinct().collect()}
+
     def upsert(self, rows: DataFrame, ordering: Sequence[Column], batch: str | None = None) -> int:
         """Replace the rows of the keys that come, add the new ones; of rows that share a key the first by ``ordering`` counts."""
         new = best_rows(rows, self.keys, ordering)
+        wanted = rows.select(*self.keys)
 
         def apply(stored: DataFrame | None) -> DataFrame:
             if stored is None:
@@ -109,11 +118,12 @@ class VersionedTable:
             marked = new.select(*self.keys)
             return stored.join(marked, same_keys(stored, marked, self.keys), "left_anti").unionByName(new.select(*stored.columns))
 
-        return self._merge(new, batch, apply)
+        return self._merge(wanted, batch, apply)
 
     def update(self, rows: DataFrame, columns: Sequence[str], ordering: Sequence[Column], batch: str | None = None) -> int:
         """Give stored rows the non-null values of ``columns``; keys that are not stored are left out."""
         new = best_rows(rows, self.keys, ordering).select(*self.keys, *[F.col(c).alias(f"__new_{c}") for c in columns])
+        wanted = rows.select(*self.keys)
 
         def apply(stored: DataFrame | None) -> DataFrame:
             if stored is None:
@@ -121,11 +131,11 @@ class VersionedTable:
             joined = attach(stored, new, self.keys)
             return joined.select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns])
 
-        return self._merge(new, batch, apply)
+        return self._merge(wanted, batch, apply)
 
     def delete(self, doomed: DataFrame, batch: str | None = None) -> int:
         """Remove the rows of the given keys."""
-        marked = doomed.select(*self.keys).distinct()
+        marked = doomed.select(*self.keys)  # repeats change nothing in an anti join
 
         def apply(stored: DataFrame | None) -> DataFrame:
             if stored is None:
@@ -137,7 +147,6 @@ class VersionedTable:
     def delete_preview(self, doomed: DataFrame) -> int:
         """How many rows a delete would remove; only the buckets it would touch are read."""
         before = self.manifest()
-        marked = doomed.select(*self.keys).distinct()
-        touched = {r[0] for r in marked.select(self._bucket(before["buckets"]).alias("b")).distinct().collect()}
-        stored = self._read(before, touched)
+        marked = doomed.select(*self.keys)  # nor in a semi join
+        stored = self._read(before, self._touched(marked, before))
         return 0 if stored is None else stored.join(marked, same_keys(stored, marked, self.keys), "left_semi").count()

@@ -58,3 +58,17 @@ def test_deleting_everything_and_empty_changes(spark, held):
     assert rows(held) == {} and held.manifest()["folders"] == {}
     with pytest.raises(FileNotFoundError):
         VersionedTable(spark, held.path + "-none", ["k"]).read()
+
+
+def test_rows_are_worked_out_once_by_a_first_write(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    v = F.udf(counted, "double")(F.col("v"))
+    source = spark.createDataFrame([(i, "a", float(i), "old") for i in range(40)], ROWS).withColumn("v", v)
+    table = VersionedTable(spark, str(tmp_path / "once"), ["k", "g"], buckets=8)
+    table.upsert(source, [F.asc("v")])
+    assert seen.value == 40 and table.read().count() == 40
