@@ -1,6 +1,6 @@
 """SimHash near-duplicates found through tables of distances to reference fingerprints."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from priorline.llm.common import stage, text_keys, without
+from priorline.llm.common import forget, stage, text_keys
 from priorline.llm.graph import components
 
 BITS = 64
@@ -74,6 +74,22 @@ def simhash(text: Column, words: int = 3, lanes: int = 1, distinct: bool = False
     return prints(text)
 
 
+def copy_prints(text: Column, words: int) -> Column:
+    """The operator's own fingerprint (three words, repeats kept), then LANES of distinct shingles of ``words`` words."""
+
+    @F.arrow_udf("array<bigint>")
+    def prints(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            values = []
+            for piece in part.cast(pa.large_binary()):
+                values.append(_majority(shingle_hashes(piece.as_py(), 3)))
+                h = np.unique(shingle_hashes(piece.as_py(), words))
+                values += [_majority(_mixed(h, lane)) for lane in range(LANES)]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, LANES + 1), pa.int32()), pa.array(values, pa.int64()))
+
+    return prints(text)
+
+
 def shingle_set(text: Column, words: int) -> Column:
     """Distinct shingle hashes of a whole text."""
 
@@ -160,20 +176,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null id stay; a component of null ids only has a null component id.  Repeated rows are repeated.
     """
     prints = stage(docs.select(F.col(id_col).alias("__id"), simhash(F.col(text_col), words)[0].alias("fp")), "prints")
+    return grouped(prints, radius).withColumnRenamed("__id", id_col)
+
+
+def grouped(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """``prints`` (__id, fp) with ``component_id``, the least id reachable by links between fingerprints."""
     distinct = stage(prints.groupBy("fp").agg(F.min("__id").alias("least")), "distinct")
     label = components(linked_fingerprints(distinct, radius)).withColumnRenamed("node", "fp")
     known = distinct.join(label, "fp")
     best = known.groupBy("component").agg(F.min("least").alias("component_id"))
     found = known.join(best, "component").select("fp", "component_id")
     final = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(final, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    return prints.join(final, "fp").select("__id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# --- near copies by shingle similarity, SimHash tables giving the candidates ---------------------
+# --- near copies: the links above, and shingle similarity with SimHash tables giving the candidates ---
 
 LANES = 4
 CANDIDATE_BITS = 54  # of 256; similarity 0.8 differs in 39 on average, with a deviation of 5.8: one pair in 200 lies beyond
@@ -222,21 +243,25 @@ def _alike(a: str, b: str, similarity: float) -> Column:
     return (small >= F.lit(similarity) * large) & (both >= F.lit(similarity) * (small + large - both))
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The candidate pairs (a, b) whose fingerprints are close and whose shingle sets are similar enough."""
-    left, right = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa")), prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"))
-    close = stage(pairs.distinct().join(left, "a").join(right, "b").filter(_close("fa", "fb")).select("a", "b"), "close")
-    needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    known = stage(sets.join(needed, "node", "left_semi").select("node", shingle_set(F.col("__text"), 5).alias("s")), "sets")
+def _similar(pairs: DataFrame, prints: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The candidate pairs (a, b), not linked yet, whose fingerprints are close and whose shingle sets are similar enough."""
+    left = prints.select(F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
+    right = prints.select(F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
+    open_ = (F.col("ca") != F.col("cb")) & _close("fa", "fb")
+    close = stage(pairs.distinct().join(left, "a").join(right, "b").filter(open_).select("a", "b"), "close")
+    known = stage(sets(close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "sets")
     left, right = known.select(F.col("node").alias("a"), F.col("s").alias("sa")), known.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    return close.join(left, "a").join(right, "b").filter(_alike("sa", "sb", similarity)).select("a", "b")
+    found = stage(close.join(left, "a").join(right, "b").filter(_alike("sa", "sb", similarity)).select("a", "b"), "links")
+    forget(close, known)
+    return found
 
 
-def near_copy_pairs(prints: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) whose components are those of all verified pairs that share a bucket.
+def near_copy_pairs(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) whose components are those of all verified pairs that share a bucket and of the links known before.
 
-    ``prints``: node, fp (LANES fingerprints); ``texts``: node, __text.  A link is a similarity of
-    shingle sets of at least ``similarity``, worked out on the whole texts; the tables only propose.
+    ``prints``: node, fp (LANES fingerprints), c (least node linked to it before, by the distance tables); ``sets`` gives
+    node and s, the shingle set of the whole text, for a table of nodes.  A link is a similarity of shingle sets of at
+    least ``similarity``; the tables only propose.
     First each member is compared with its bucket's least node, one pair per row.  Members of a bucket
     that now share a component need no further look, as no pair of them can change the result; pairs of
     one bucket that lie in different components are all compared.  A group of copies is thus linked in
@@ -247,45 +272,72 @@ def near_copy_pairs(prints: DataFrame, texts: DataFrame, similarity: float = 0.8
     members = prints.select("node", F.explode(_table_keys(F.col("fp"), bits, tables)).alias("key")).repartition("key")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = stage(members.join(sizes, "key"), "buckets")
-    first = stage(_similar(shared.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")), prints, texts, similarity), "links")
+    pairs = shared.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    first = _similar(pairs, prints, sets, similarity).union(prints.filter("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")))
     label = components(first)
     placed = shared.filter("n > 2").join(label, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    held = stage(placed.join(mixed, "key").join(prints, "node"), "held")
+    # what belongs to a text is joined once per text, not once per bucket it is in; a text has no more buckets than tables
+    buckets = placed.join(mixed, "key").groupBy("node", "c").agg(F.collect_list(F.struct("key", "least")).alias("at"))
+    held = stage(buckets.join(prints.select("node", "fp"), "node").select("node", "c", "fp", F.inline("at")), "held")
     mates = held.select(F.col("key").alias("k2"), F.col("c").alias("cb"), F.col("fp").alias("fb"))
     apart = (F.col("key") == F.col("k2")) & (F.col("c") != F.col("cb")) & _close("fp", "fb")
     near = stage(held.join(mates, apart, "left_semi"), "near")
     # with their shingle sets, so that the join itself turns down what does not link: a large group of texts
     # that are mostly below the similarity still takes its comparisons, but makes no rows of them
-    known = texts.join(near.select("node").distinct(), "node", "left_semi").select("node", shingle_set(F.col("__text"), 5).alias("s"))
-    rest = near.join(stage(known, "known"), "node")
+    known = stage(sets(near.select("node").distinct()), "known")
+    buckets = near.groupBy("node", "c", "fp").agg(F.collect_list(F.struct("key", "least")).alias("at"))
+    rest = buckets.join(known, "node").select("node", "c", "fp", "s", F.inline("at"))
     other = rest.select(F.col("key").alias("k2"), F.col("node").alias("b"), F.col("c").alias("cb"), F.col("fp").alias("fb"), F.col("s").alias("sb"))
     new = (F.col("node") < F.col("b")) & (F.col("node") != F.col("least"))
     second = rest.join(other, apart & new & _alike("s", "sb", similarity)).select(F.col("node").alias("a"), "b").distinct()
-    return first.union(second)
+    links = stage(first.union(second), "all_links")
+    forget(shared, held, near, known)
+    return links
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one row of every group of exact or near copies, columns unchanged.
 
-    Exact copies are equal texts (nulls are equal); near copies have shingle sets of at least the given
-    Jaccard similarity and meet in one of the tables of SimHash bits.  At similarity 0.8 a pair meets
-    with probability 0.95, from 0.85 on with 0.99 and more.  The least id stays (null ids last).
-    Texts without a word have no shingles and are copies of equal texts only.  Column names that start
-    with two underscores are reserved.
+    Exact copies are equal texts (nulls are equal).  Near copies are the links of ``near_duplicates``, found exactly through its
+    distance tables (fingerprints at 2 or fewer differing bits), and texts whose shingle sets have at least the given
+    Jaccard similarity and that meet in one of the tables of SimHash bits.  At similarity 0.8 a pair meets there
+    with probability 0.95, from 0.85 on with 0.99 and more.  Groups are joined by either kind of link; the least id
+    stays (null ids last).  Texts without a word have no shingles and are copies of equal texts only.  Column names that
+    start with two underscores are reserved.
+
+    Only keys and fingerprints take part in the search.  Texts are shuffled twice: once for the shingle sets that are
+    compared and once for the rows that stay.
     """
     if words != 5:
         raise ValueError("near copies are compared on shingles of five words")
-    key = text_keys(F.col(text_col))
-    best = Window.partitionBy("__k1", "__k2").orderBy(F.col(id_col).asc_nulls_last())
-    one = docs.select("*", *key).withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-    one = stage(one.withColumn("__fp", simhash(F.col(text_col), words, LANES, distinct=True)), "texts")
-    worded = one.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    prints = worded.select(F.col("__k1").alias("node"), F.col("__fp").alias("fp"))
-    texts = worded.select(F.col("__k1").alias("node"), F.col(text_col).alias("__text"))
-    groups = components(near_copy_pairs(prints, texts, similarity))
-    ranked = groups.join(one.select(F.col("__k1").alias("node"), F.col(id_col).alias("id")), "node")
+
+    def numbered(c: Column) -> Column:
+        return F.xxhash64(c.isNull(), c).alias("__i")
+
+    def rows_of(columns: DataFrame, wanted: DataFrame) -> DataFrame:
+        """One row for each wanted text and id; what is wanted grows with the input, so it is never broadcast."""
+        return columns.join(wanted.hint("merge"), ["__k1", "__k2", "__i"], "left_semi").dropDuplicates(["__k1", "__k2", "__i"])
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = one.join(nodes.withColumnRenamed("node", "__k1"), "__k1", "left_semi").select("__k1", "__k2", "__i")
+        texts = docs.select(F.col(text_col).alias("__text"), *key, numbered(F.col(id_col)))
+        return rows_of(texts, wanted).select(F.col("__k1").alias("node"), shingle_set(F.col("__text"), words).alias("s"))
+
+    key, found = text_keys(F.col(text_col)), [f"__p{i}" for i in range(LANES + 1)]
+    marks = docs.select(F.col(id_col).alias("__id"), *key, F.col(text_col).rlike(r"[^\x20\x09-\x0D]").alias("__worded"), copy_prints(F.col(text_col), words).alias("__p"))
+    marks = marks.select("__id", "__k1", "__k2", "__worded", *[F.col("__p")[i].alias(c) for i, c in enumerate(found)])
+    # equal texts have equal marks, so any of theirs will do; min leaves null ids out unless there is no other
+    one = marks.groupBy("__k1", "__k2").agg(F.min("__id").alias("__id"), *[F.min(c).alias(c) for c in ("__worded", *found)])
+    one = stage(one.withColumn("__i", numbered(F.col("__id"))), "texts")
+    worded = one.filter("__worded")
+    linked = grouped(worded.select(F.col("__k1").alias("__id"), F.col(found[0]).alias("fp"))).select(F.col("__id").alias("node"), F.col("component_id").alias("c"))
+    prints = stage(worded.select(F.col("__k1").alias("node"), F.array(*found[1:]).alias("fp")).join(linked, "node"), "linked")
+    links = near_copy_pairs(prints, sets, similarity)
+    ranked = components(links).join(one.select(F.col("__k1").alias("node"), F.col("__id").alias("id")), "node")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))
     kept = ranked.groupBy("component").agg(F.min_by("node", order).alias("keep"))
-    gone = stage(ranked.join(kept, "component").filter("node <> keep").select(F.col("node").alias("__k1")).distinct(), "gone")
-    return one.join(gone, "__k1", "left_anti").select(*docs.columns)
+    gone = ranked.join(kept, "component").filter("node <> keep").select(F.col("node").alias("__k1")).distinct()
+    wanted = stage(one.join(gone, "__k1", "left_anti").select("__k1", "__k2", "__i"), "kept")
+    forget(one, prints, links)
+    return rows_of(docs.select("*", *key, numbered(F.col(id_col))), wanted).select(*docs.columns)

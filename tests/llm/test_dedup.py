@@ -120,6 +120,26 @@ def test_copies_that_repeat_other_lines_are_found(spark):
     assert sorted(r.doc_id for r in kept) == list(range(12))
 
 
+def test_near_copies_hold_the_links_of_the_distance_tables(spark):
+    """Fingerprints within two bits are links here too, whatever the shingle sets, and join groups with the other kind."""
+    line = " ".join(words(1, 25))
+    texts = [" ".join([line] * 60 + words(50 + i, 12)) for i in range(3)]
+    prints = [fingerprint(t) for t in texts]
+    groups = components(range(3), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert set(groups.values()) == {0} and max(jaccard(texts[0], t) for t in texts[1:]) < 0.8
+    near = " ".join([*texts[2].split()[:-1], "new"])  # alike to the last one only by its shingles or its fingerprint
+    docs = frame(spark, [*texts, near, " ".join(words(7, 200))])
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 4}
+
+
+def test_near_copies_of_repeated_rows_and_null_ids(spark):
+    text, other = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(None, text), (7, text), (7, text), (9, text), (None, other), (None, other), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in simhash.drop_near_copies(docs).collect()), key=str)
+    assert got == sorted([(7, text), (None, other), (3, None)], key=str)
+
+
 def test_near_copies_on_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
