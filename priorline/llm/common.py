@@ -5,27 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorline.session import work_folder
+from priorline.session import forget as forget
+from priorline.session import stage as stage
 
 SPACE = r"[\x20\x09-\x0D]"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint storage and read it back: lineage ends, lost executors do not matter."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(*staged: DataFrame) -> None:
-    """Delete the files of staged tables once all that is read from them has been written."""
-    for df in staged:
-        spark = df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_keys(text: Column) -> list[Column]:
     """Two independent 64-bit hashes that identify a text (null is a text of its own)."""
     return [F.xxhash64(text.isNull(), text).alias("__k1"), F.xxhash64(F.lit("second"), text.isNull(), text).alias("__k2")]
