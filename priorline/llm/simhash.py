@@ -275,9 +275,10 @@ def near_copy_pairs(prints: DataFrame, sets: Callable[[DataFrame], DataFrame], s
     pairs = shared.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     first = _similar(pairs, prints, sets, similarity).union(prints.filter("node <> c").select(F.col("node").alias("a"), F.col("c").alias("b")))
     label = components(first)
-    placed = shared.filter("n > 2").join(label, "node", "left").select("key", "node", "least", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     # what belongs to a text is joined once per text, not once per bucket it is in; a text has no more buckets than tables
+    placed = shared.filter("n > 2").groupBy("node").agg(F.collect_list(F.struct("key", "least")).alias("at")).join(label, "node", "left")
+    placed = placed.select("node", F.coalesce("component", "node").alias("c"), F.inline("at"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     buckets = placed.join(mixed, "key").groupBy("node", "c").agg(F.collect_list(F.struct("key", "least")).alias("at"))
     held = stage(buckets.join(prints.select("node", "fp"), "node").select("node", "c", "fp", F.inline("at")), "held")
     mates = held.select(F.col("key").alias("k2"), F.col("c").alias("cb"), F.col("fp").alias("fb"))

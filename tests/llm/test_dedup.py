@@ -132,6 +132,22 @@ def test_near_copies_hold_the_links_of_the_distance_tables(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 4}
 
 
+def test_components_are_joined_once_per_text(spark, monkeypatch):
+    base, made = words(31, 300), []
+    docs = frame(spark, [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 300, 10)] + [" ".join(words(32 + i, 300)) for i in range(10)])
+    join = type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if isinstance(on, str) and (on, how) == ("node", "left"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, *range(30, 40)]
+    assert made and max(made) <= 40
+
+
 def test_near_copies_of_repeated_rows_and_null_ids(spark):
     text, other = " ".join(words(1, 60)), " ".join(words(2, 60))
     rows = [(None, text), (7, text), (7, text), (9, text), (None, other), (None, other), (None, None), (3, None)]
