@@ -381,6 +381,33 @@ def test_differences_against_counting():
     assert sketches.differences(a, b).tolist() == counted and sketches.differences([], []).tolist() == []
 
 
+def test_sketches_of_tables_against_counting(spark):
+    rng = np.random.default_rng(6)
+    a = [rng.integers(0, most, size).tolist() for most, size in zip(rng.choice([3, 40, 2**40], 40), rng.choice([0, 1, 9, 80, 700], 40), strict=True)]
+    b = [x[: len(x) // 2] + rng.integers(0, 50, rng.integers(0, 60)).tolist() for x in a]
+    a, b = [*a, [], [7, 7, 5], [2**40 - 1] * 9], [*b, [], [5, 7, 7], [2**40 - 1] * 4]
+    pairs = spark.createDataFrame([(i, x, y, len(x) + len(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "row long, a array<long>, b array<long>, size int")
+    counted = {i: sum((Counter(x) - Counter(y)).values()) + sum((Counter(y) - Counter(x)).values()) for i, (x, y) in enumerate(zip(a, b, strict=True))}
+    found = sketches.differing(pairs, ["row"]).collect()
+    assert len(found) == len(a) and {r.row: r.n for r in found} == counted
+    assert sketches.differing(pairs.limit(0), ["row"]).count() == 0
+
+
+def test_fingerprints_hold_every_digest_in_each_table_without_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = sketches.edited_fingerprints(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    lists = {r.doc_id: Counter(r.d) for r in docs.select("doc_id", sketches.digests(F.col("text")).alias("d")).collect()}
+    for r in found.collect():
+        cells = [[int(v, 16) for v in c.split(".")] if c else [0, 0, 0] for c in r.fingerprint.split(",")]
+        assert len(cells) == sketches.TABLES * sketches.CELLS
+        for t in range(sketches.TABLES):
+            held = cells[t * sketches.CELLS : (t + 1) * sketches.CELLS]
+            assert sum(c[0] for c in held) == lists[r.doc_id].total()
+            assert sum(c[1] for c in held) == sum(k * n for k, n in lists[r.doc_id].items())
+
+
 def plain_paragraphs(text):
     """Pieces by hand: to the end of the line or sentence within 256 characters, else to a word that ends in a vowel, else 256."""
     out = []
