@@ -154,6 +154,30 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc
     return _in_order(docs, schedule(docs, weights, id_col, source_col, **options), id_col, source_col, F.col("__at.in_mix"))
 
 
+SCHEDULE = ["block", "place", "slot", "release", "deadline", "in_mix"]
+
+
+def with_schedule(docs: DataFrame, weights: Mapping[str | None, float], id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All rows in scheduled order with the SCHEDULE columns of their own.
+
+    Rows with a null id or an id that repeats in a source have a place each, dealt out among them in the order of their hashes; only
+    they are shuffled once more.
+    """
+    plan = schedule(docs, weights, id_col, source_col, **options).withColumnsRenamed({id_col: "__id", source_col: "__src"})
+    plan = plan.select("__id", "__src", F.struct("slot", "place", *[c for c in SCHEDULE if c not in ("slot", "place")]).alias("__at"))
+    own = plan.groupBy("__id", "__src").agg(F.min("__at").alias("__at"), F.count("*").alias("__n"))
+    source = F.col(source_col).cast("string")
+    rows = docs.join(own, F.col(id_col).eqNullSafe(F.col("__id")) & source.eqNullSafe(F.col("__src")))
+    group = Window.partitionBy("__id", "__src")
+    again = rows.filter("__n > 1").drop("__at", "__n").withColumn("__nth", F.row_number().over(group.orderBy(F.xxhash64(*docs.columns))))
+    shared = plan.withColumns({"__m": F.row_number().over(group.orderBy("__at")), "__n": F.count("*").over(group)}).filter("__n > 1")
+    shared = shared.select(F.col("__id").alias("__i"), F.col("__src").alias("__s"), "__m", "__at")
+    again = again.join(shared, _same("__id", "__i") & _same("__src", "__s") & (F.col("__nth") == F.col("__m")))
+    placed = rows.filter("__n = 1").select(*docs.columns, "__at").unionByName(again.select(*docs.columns, "__at"))
+    ordered = placed.repartitionByRange("__at.slot").sortWithinPartitions("__at.slot", "__at.place")
+    return ordered.select(*docs.columns, *[F.col(f"__at.{c}").alias(c) for c in SCHEDULE])
+
+
 def _in_order(docs: DataFrame, plan: DataFrame, id_col: str, source_col: str, wanted: Column | None = None) -> DataFrame:
     first = plan.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__src")).agg(F.min(F.struct("slot", "place", "in_mix")).alias("__at"))
     if wanted is not None:
